@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, quality, secrets, sharding
+from strataflow.llm import mixing, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op8_warc": warc.op8_warc,
     "op9_secrets": secrets.op9_secrets,
     "op10_quality": quality.op10_quality,
 }

@@ -112,7 +112,7 @@ def no_spans() -> Column:
 def ratio(token: Column, scores: Column) -> Column:
     """The sum of the ratios of a token's character pairs."""
     size = len(ALPHABET)
-    chars = F.split(token, "")
+    chars = F.filter(F.split(token, ""), lambda c: c != "")
     ids = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     return let(ids, lambda x: F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: scores[a * size + b]), F.lit(0), lambda s, v: s + v))
 
