@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import mixing, quality, secrets, sharding, warc
+from strataflow.llm import langid, mixing, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_langid": langid.op4_langid,
     "op6_mixing": mixing.op6_mixing,
     "op8_warc": warc.op8_warc,
     "op9_secrets": secrets.op9_secrets,
