@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import langid, mixing, quality, secrets, sharding, toxicity, warc
+from strataflow.llm import langid, mixing, neardup, quality, secrets, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_neardup": neardup.op2_neardup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_langid": langid.op4_langid,
     "op6_mixing": mixing.op6_mixing,
