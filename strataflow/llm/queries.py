@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import langid, mixing, neardup, quality, secrets, sharding, toxicity, warc
+from strataflow.llm import langid, mixing, neardup, quality, secrets, sharding, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_langid": langid.op4_langid,
     "op6_mixing": mixing.op6_mixing,
+    "op7_topk": topk.op7_topk,
     "op8_warc": warc.op8_warc,
     "op9_secrets": secrets.op9_secrets,
     "op10_quality": quality.op10_quality,
