@@ -315,12 +315,14 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) ->
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component) of every row: links at 100 * intersection >= percent * union.
 
-    The key is a long and identifies a row; component is the least key reachable. Null and wordless
-    texts have an empty set and are linked with nothing. Repeated texts are one class. Percent is 80
-    at least, as the bands are laid out for that. An empty table gives an empty one.
+    The key is a long and identifies a row; component is the least key reachable. Rows with a null key
+    take no part, and rows of one key share a component. Null and wordless texts have an empty set and
+    are linked with nothing. Repeated texts are one class. Percent is 80 at least, as the bands are laid
+    out for that. An empty table gives an empty one.
     """
     if percent < 80:
         raise ValueError("the bands find similarities of 0.8 and above")
+    docs = docs.where(F.col(key).isNotNull())
     sig = cut(signatures(docs, key, text, k), "signatures")
     classes = cut(sig.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     chosen = sig.join(classes.select("rep"), F.col("id") == F.col("rep")).drop("rep")
@@ -338,9 +340,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: i
 
 
 def deduplicate(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the least of their component, as they are."""
-    found = near_duplicates(docs, key, text, k, percent).where("id = component").select(F.col("id").alias("__id"))
-    return docs.join(found, F.col(key) == F.col("__id"), "left_semi")
+    """The rows of docs that are the least of their component, as they are. Rows with a null key stay."""
+    gone = near_duplicates(docs, key, text, k, percent).where("id != component").select(F.col("id").alias("__id"))
+    return docs.join(gone, F.col(key) == F.col("__id"), "left_anti")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,5 +83,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+    return sized((sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(U64))
+
+
+def sized(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of spans of these sizes from their shares of the running sum."""
+    with np.errstate(over="ignore"):
+        return mix(h ^ (size * U64(0xD6E8FEB86659FD93)))
