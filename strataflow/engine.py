@@ -219,6 +219,14 @@ class Engine:
             df = df.limit(q.limit)
         return df.orderBy(*keys, *default) if ordered or q.order else df
 
+    def cypher(self, graph, text: str, params: dict | None = None, **more) -> DataFrame:
+        """The answer to a Cypher query over a graph view of the catalog."""
+        from strataflow.cypher import compile_query
+
+        graph.validate(self.catalog)
+        program, columns = compile_query(graph, text, params)
+        return self.query(program, names=columns, **more)
+
     # around asking
 
     def total(self, program: str, **more) -> int:

@@ -7,6 +7,7 @@ value that comes out null means that the function has no row there.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,8 +19,6 @@ from strataflow.errors import CheckError
 from strataflow.functions import units
 from strataflow.values import ANY, NUM, TEXT, Kind, Val, compare, held, is_absent, numeric, text
 
-PATH = "struct<nodes:array<string>,edges:array<string>>"
-
 
 @dataclass(frozen=True)
 class Mode:
@@ -164,41 +163,58 @@ def solver(name: str, op: str, back: str) -> Predicate:
     return Predicate(name, 3, modes=(forward, second, first))
 
 
-LIST_ITEM = "array<string>"
+def boxed_items(t: Column) -> Column:
+    """The elements of a JSON list as boxed values: numbers, text, and null for absent."""
+    texts, numbers = F.from_json(t, "array<string>"), F.from_json(t, "array<double>")
+    none = F.lit(None)
 
+    def box(x: Column, n: Column) -> Column:
+        kind = F.when(x.isNull(), 0).when(n.isNotNull(), 1).otherwise(2).cast("tinyint")
+        return F.struct(kind.alias("k"), n.alias("n"), F.when(n.isNull(), x).otherwise(none).alias("s"), F.lit("").alias("u"))
 
-def items(v: Val) -> Column:
-    """A list's elements as text; null where the value isn't a list."""
-    if v.kind.name.startswith("array"):
-        return v.col.cast("array<string>")
-    return F.when(F.trim(text(v)).startswith("["), F.from_json(text(v), LIST_ITEM))
+    return F.when(F.trim(t).startswith("["), F.zip_with(texts, F.coalesce(numbers, F.array().cast("array<double>")), box))
 
 
-def element(v: Val) -> Kind:
-    return NUM if v.kind.name in ("array<float>", "array<double>") else Kind("num", "", True, True) if v.kind.name in ("array<int>", "array<bigint>") else TEXT
+def items(v: Val) -> tuple[Column, Kind]:
+    """A list's elements and their kind; null where the value isn't a list. A constant list of numbers has plain ones."""
+    if v.kind.name.startswith("array"):
+        inner = v.kind.name[6:-1]
+        return v.col, Kind("num", "", True, inner in ("int", "bigint", "smallint", "tinyint")) if inner in ("float", "double", "int", "bigint", "smallint", "tinyint") else TEXT
+    value = getattr(v, "constant", None)
+    if isinstance(value, str):
+        try:
+            parts = json.loads(value)
+        except ValueError:
+            parts = None
+        if isinstance(parts, list) and parts and all(isinstance(x, (int, float)) for x in parts):
+            return F.array(*map(F.lit, parts)), Kind("num", "", False, all(isinstance(x, int) for x in parts))
+        if isinstance(parts, list) and all(isinstance(x, str) for x in parts):
+            return F.array(*map(F.lit, parts)).cast("array<string>"), TEXT
+    return boxed_items(text(v)), ANY
 
 
-def raw_items(v: Val) -> Column:
-    return v.col if v.kind.name.startswith("array") else items(v)
+def path_part(v: Val, what: str) -> Column:
+    """A path's nodes or edges as boxed values; null where the value isn't a path or names no edges."""
+    t = text(v)
+    inside = lambda name: F.get_json_object(t, f"$.{name}")
+    return boxed_items(F.when(F.trim(t).startswith("["), t).otherwise(inside("nodes"))) if what == "nodes" else boxed_items(inside("edges"))
 
 
-def path_part(v: Val, what: str) -> Column:
+def part_text(v: Val, what: str) -> Column:
     t = text(v)
-    as_object = F.from_json(t, PATH)
-    nodes = F.when(F.trim(t).startswith("["), F.from_json(t, LIST_ITEM)).otherwise(as_object["nodes"])
-    return nodes if what == "nodes" else as_object["edges"]
+    return F.when(F.trim(t).startswith("["), t).otherwise(F.get_json_object(t, "$.nodes")) if what == "nodes" else F.get_json_object(t, "$.edges")
 
 
 def steps(v: dict[int, Val]) -> tuple[Column, list[Kind]]:
     n = path_part(v[0], "nodes")
     pairs = F.zip_with(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("f"), b.alias("t")))
     made = F.transform(pairs, lambda p, i: F.struct(i.cast("long").alias("a"), p["f"].alias("b"), p["t"].alias("c")))
-    return F.when(F.size(n) > 1, made), [Kind("num", "", False, True), TEXT, TEXT]
+    return F.when(F.size(n) > 1, made), [Kind("num", "", False, True), ANY, ANY]
 
 
 def at(v: dict[int, Val]) -> list[Val]:
-    i = numeric(v[1]).cast("int")
-    return one(F.try_element_at(raw_items(v[0]), F.when(i >= 0, i + 1).otherwise(i)), element(v[0]))
+    (array, kind), i = items(v[0]), numeric(v[1]).cast("int")
+    return one(F.try_element_at(array, F.when(i >= 0, i + 1).otherwise(i)), kind)
 
 
 def one_piece(v: dict[int, Val]) -> list[Val]:
@@ -207,7 +223,11 @@ def one_piece(v: dict[int, Val]) -> list[Val]:
 
 
 def member(v: dict[int, Val]) -> tuple[Column, list[Kind]]:
-    return numbered(raw_items(v[0]), element(v[0]))
+    return numbered(*items(v[0]))
+
+
+def length(array: Column, less: int = 0) -> list[Val]:
+    return one(F.when(array.isNotNull(), F.size(array) - less).cast("long"), Kind("num", "", True, True))
 
 
 def standard() -> dict[str, Predicate]:
@@ -234,14 +254,14 @@ def standard() -> dict[str, Predicate]:
         fn("num.neg", 2, Mode((0,), (1,), lambda v: [negative(v[0])]), Mode((1,), (0,), lambda v: [negative(v[1])])),
         fn("coalesce", 3, Mode((0, 1), (2,), lambda v: [first_of(v[0], v[1])])),
         fn("list.member", 3, Mode((0,), (1, 2), member, True)),
-        fn("list.length", 2, Mode((0,), (1,), lambda v: one(F.when(raw_items(v[0]).isNotNull(), F.size(raw_items(v[0]))).cast("long"), Kind("num", "", True, True)))),
+        fn("list.length", 2, Mode((0,), (1,), lambda v: length(items(v[0])[0]))),
         fn("list.at", 3, Mode((0, 1), (2,), at)),
-        fn("path.length", 2, Mode((0,), (1,), lambda v: one(F.when(path_part(v[0], "nodes").isNotNull(), F.size(path_part(v[0], "nodes")) - 1).cast("long"), Kind("num", "", True, True)))),
-        fn("path.node", 3, Mode((0,), (1, 2), lambda v: numbered(path_part(v[0], "nodes"), TEXT), True)),
-        fn("path.edge", 3, Mode((0,), (1, 2), lambda v: numbered(path_part(v[0], "edges"), TEXT), True)),
+        fn("path.length", 2, Mode((0,), (1,), lambda v: length(path_part(v[0], "nodes"), 1))),
+        fn("path.node", 3, Mode((0,), (1, 2), lambda v: numbered(path_part(v[0], "nodes"), ANY), True)),
+        fn("path.edge", 3, Mode((0,), (1, 2), lambda v: numbered(path_part(v[0], "edges"), ANY), True)),
         fn("path.step", 4, Mode((0,), (1, 2, 3), steps, True)),
-        fn("path.nodes", 2, Mode((0,), (1,), lambda v: one(F.to_json(path_part(v[0], "nodes"))))),
-        fn("path.edges", 2, Mode((0,), (1,), lambda v: one(F.to_json(path_part(v[0], "edges"))))),
+        fn("path.nodes", 2, Mode((0,), (1,), lambda v: one(part_text(v[0], "nodes")))),
+        fn("path.edges", 2, Mode((0,), (1,), lambda v: one(part_text(v[0], "edges")))),
     ]
     return {p.name: p for p in found}
 

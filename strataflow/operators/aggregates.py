@@ -28,6 +28,8 @@ def one_unit(v: Val, out: Column) -> Val:
 def reduced(func: str, distinct: bool, v: Val) -> Val:
     if func == "count":
         return Val(F.count_distinct(distinct_key(v)) if distinct else F.count(F.lit(1)), WHOLE)
+    if func == "present":  # bindings that aren't absent; front ends use it
+        return Val(F.count(F.when(~V.is_absent(v), 1)), WHOLE)
     if func == "list":
         return Val(listed(v, distinct), Kind("text", "", False))
     if v.kind.name not in ("num", "any", "text") and func in ("min", "max"):
