@@ -12,7 +12,7 @@ from strataflow import values as V
 from strataflow.errors import CheckError
 from strataflow.operators import aggregates, versions
 from strataflow.plans import rewrite
-from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, constant_val
+from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, constant_val, distinct
 from strataflow.plans.text import parse, show
 from strataflow.plans.tree import Agg, Atom, Call, Column, Compare, Const, Either, Maybe, Not, Op, Query, Reduce, Rule, Var, body_vars, expr_vars
 from strataflow.sources.catalog import Catalog
@@ -185,9 +185,9 @@ class Engine:
             df = f.df.select(*[v.col.alias(f"a{i}") for i, v in enumerate(vals)], *([CITES] if c.cites else []))
             if c.cites:
                 keys = [V.key(V.Val(F.col(f"a{i}"), k)).alias(f"k{i}") for i, k in enumerate(kinds)]
-                df = df.groupBy(*keys).agg(*[F.first(f"a{i}").alias(f"a{i}") for i in range(len(kinds))], F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES))
+                df = df.groupBy(*keys).agg(*[F.max(f"a{i}").alias(f"a{i}") for i in range(len(kinds))], F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES))
             else:
-                df = df.distinct()
+                df = distinct(df, df.columns, kinds)
         shown = list(range(len(items)))
         labels = [col.label for col in select]
         if across:

@@ -140,8 +140,8 @@ class Compiler:
         names = [f"a{i}" for i in range(len(kinds))]
         if self.cites:
             keys = [V.key(Val(F.col(n), k)).alias(f"k{i}") for i, (n, k) in enumerate(zip(names, kinds, strict=True))]
-            return df.groupBy(*keys).agg(*[F.first(n).alias(n) for n in names], F.min(F.struct(F.size(CITES), CITES))[CITES].alias(CITES)).select(*names, CITES) if names else df.limit(1)
-        return df.distinct() if names else df.limit(1)
+            return df.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names], F.min(F.struct(F.size(CITES), CITES))[CITES].alias(CITES)).select(*names, CITES) if names else df.limit(1)
+        return distinct(df, names, kinds) if names else df.limit(1)
 
     def head(self, r: Rule, swap: dict[int, Rel] | None = None) -> Rel:
         """The tuples of one rule, as a bag unless it aggregates."""
@@ -429,7 +429,7 @@ class Compiler:
         r = self.catalog.relations.get(x.rel)
         if r and r.domains:
             for label, a in zip(r.labels, x.args, strict=False):
-                if isinstance(a, Const) and label in r.domains and a.value not in r.domains[label]:
+                if isinstance(a, Const) and label in r.domains and str(a.value) not in map(str, r.domains[label]):
                     raise CheckError("type", f"{x.rel}: {label} is one of {r.domains[label]}, not {a.value!r}")
 
     def join(self, f: Frame | None, g: Frame, how: str = "inner") -> Frame:
@@ -724,5 +724,13 @@ def coerced(c: Const, kind: Kind) -> Val:
     return V.constant(c.value, c.unit)
 
 
+def distinct(df: DataFrame, names: list[str], kinds: list[Kind]) -> DataFrame:
+    """The distinct rows by value. Of boxed values that are equal one is kept, one with a unit before one without."""
+    if all(k.name != "any" for k in kinds):
+        return df.distinct()
+    keys = [V.key(Val(F.col(n), k)).alias(f"k{i}") for i, (n, k) in enumerate(zip(names, kinds, strict=True))]
+    return df.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names]).select(*names)
+
+
 def strict_reads(body: tuple) -> set[str]:
     return {a.rel for a, strict in atoms(body) if strict}

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.errors import CheckError, suggestion
@@ -120,13 +120,17 @@ class Catalog:
         raise CheckError("unknown", f"no {name}{suggestion(name, self.names())}")
 
 
+def prefixed(cites: Column, prefix: str) -> Column:
+    return F.transform(cites, lambda c: F.concat(F.lit(prefix), c))
+
+
 def federated(members: dict[str, DataFrame], holds: dict[str, Callable] | None = None) -> DataFrame:
     """The union of members' relations; citations get the member's name in front. A member's `holds`, a function
     from its DataFrame to a condition, says which facts it may have; Spark prunes what can't match."""
     parts = []
     for name, df in members.items():
         if "__cites" in df.columns:
-            df = df.withColumn("__cites", F.transform("__cites", lambda c, n=name: F.concat(F.lit(f"{n}/"), c)))
+            df = df.withColumn("__cites", prefixed(F.col("__cites"), f"{name}/"))
         parts.append(df.where(holds[name](df)) if holds and name in holds else df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

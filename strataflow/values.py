@@ -7,6 +7,7 @@ struct<k, n, s, u>: 0 absent, 1 number, 2 text; the number; its spelling or the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -62,25 +63,37 @@ def constant(value: object, unit: str = "") -> Val:
     return Val(F.lit(value), Kind("num", unit, False, isinstance(value, int)))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for a row."""
+    return F.transform(F.array(value), then)[0]
+
+
 def format_number(x: Column) -> Column:
     """The shortest digits that read back as the number, with an exponent from 1e+06 and below 1e-04."""
     d = x.cast("double")
-    s = F.abs(d).cast("string")
-    mantissa = F.regexp_extract(s, r"^([0-9.]+)", 1)
-    power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.regexp_replace(F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", ""), "0+$", "")
-    whole = F.instr(mantissa, ".") - 1
-    lead = F.length(F.regexp_extract(mantissa, r"^0\.(0*)", 1))
-    exponent = F.when(mantissa.startswith("0."), -lead - 1).otherwise(whole - 1) + power
-    tail = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
-    sci = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), digits.substr(F.lit(2), F.length(digits)))).otherwise(""), F.lit("e"), tail)
-    padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), F.lit("0"))
-    plain = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).otherwise(
-        F.concat(padded.substr(F.lit(1), exponent + 1), F.when(F.length(digits) > exponent + 1, F.concat(F.lit("."), padded.substr(exponent + 2, F.length(padded)))).otherwise(""))
-    )
-    body = F.when((exponent < -4) | (exponent >= 6), sci).otherwise(plain)
+
+    def parts(s: Column) -> Column:
+        mantissa = F.regexp_extract(s, r"^([0-9.]+)", 1)
+        power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        digits = F.regexp_replace(F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", ""), "0+$", "")
+        lead = F.length(F.regexp_extract(mantissa, r"^0\.(0*)", 1))
+        exponent = F.when(mantissa.startswith("0."), -lead - 1).otherwise(F.instr(mantissa, ".") - 2) + power
+        return F.struct(digits.alias("d"), exponent.alias("e"))
+
+    def body(p: Column) -> Column:
+        digits, e = p["d"], p["e"]
+        rest = F.when(F.length(digits) > 1, F.concat(F.lit("."), digits.substr(F.lit(2), F.length(digits)))).otherwise("")
+        size = F.abs(e).cast("string")
+        power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+        sci = F.concat(F.substring(digits, 1, 1), rest, F.lit("e"), power)
+        padded = F.rpad(digits, F.greatest(e + 1, F.length(digits)), F.lit("0"))
+        tail = F.when(F.length(digits) > e + 1, F.concat(F.lit("."), padded.substr(e + 2, F.length(padded)))).otherwise("")
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        return F.when((e < -4) | (e >= 6), sci).when(e < 0, small).otherwise(F.concat(padded.substr(F.lit(1), e + 1), tail))
+
     special = F.when(F.isnan(d), "NaN").when(F.abs(d) == float("inf"), F.when(d > 0, "+Inf").otherwise("-Inf")).when(d == 0, "0")
-    return F.when(x.isNotNull(), F.coalesce(special, F.concat(F.when(d < 0, "-").otherwise(""), body)))
+    plain = let(F.abs(d).cast("string"), lambda s: let(parts(s), body))
+    return F.when(x.isNotNull(), F.coalesce(special, F.concat(F.when(d < 0, "-").otherwise(""), plain)))
 
 
 def box(v: Val) -> Column:
