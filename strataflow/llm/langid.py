@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import table
-from strataflow.llm.textnp import LOWER, buffers
+from strataflow.llm.textnp import LOWER, buffers, release
 
 #: n-grams of these many bytes are hashed to so many buckets each.
 GRAMS = (1, 2, 3)
@@ -196,6 +196,7 @@ def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
             lang, score, unsure = predict(shared.value, *buffers(batch.column(at)))
             arrays = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "p", "s", "u"])
+            release()
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, flat.schema, strict=True)) + ", p string, s double, u boolean"
     out = flat.mapInArrow(run, schema)

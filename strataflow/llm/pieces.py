@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import table
-from strataflow.llm.textnp import U64, buffers, powers, sized, slices, span_hashes
+from strataflow.llm.textnp import U64, buffers, powers, release, sized, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
@@ -409,7 +409,7 @@ def encoded(df: DataFrame, text: str, model: Model) -> DataFrame:
         encoder = _encoders[id(model)]
         for batch in batches:
             data, offsets = buffers(batch.column(at))
-            for i, j in slices(offsets, 4 << 20):
+            for i, j in slices(offsets):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, cuts = encoder.encode(part, bounds)
                 back, ends = encoder.decode(ids, cuts)
@@ -424,6 +424,7 @@ def encoded(df: DataFrame, text: str, model: Model) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
                 columns = [c[i:j] for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.diff(cuts)), pa.array(same & ~differs)], names=[*names, "i", "n", "r"])
+            release()
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, flat.schema, strict=True)) + ", i array<int>, n long, r boolean"
     out = flat.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about `most` bytes; a longer text makes a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -42,6 +43,16 @@ def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def release() -> None:
+    """Gives the memory of finished batches back to the system. Workers are used again by later tasks, and what
+    they'd keep of earlier ones adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> U64(30))
