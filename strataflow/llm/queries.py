@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataflow.llm import langid, mixing, neardup, pieces, quality, secrets, sharding, topk, toxicity, warc
+from strataflow.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -20,3 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.op9_secrets,
     "op10_quality": quality.op10_quality,
 }
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -48,7 +48,9 @@ def shards(df: DataFrame, key: str, weights: list[float], new_weight: float | No
 
 def numbered(df: DataFrame, key: str, size: str, check: str, buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Adds `slot`, from 0 without gaps within each shard: two small shuffles, no task per shard."""
-    dealt = df.withColumns({"__bucket": F.pmod(F.xxhash64(key, size, check), F.lit(buckets)), "__one": F.lit(1)})
+    name = F.concat_ws("/", F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, size, check)])
+    bucket = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    dealt = df.withColumns({"__bucket": bucket, "__one": F.lit(1)})
     order = [F.col(c).asc_nulls_first() for c in (key, size, check)]
     return prefix_sums(dealt, ["shard"], "__bucket", order, "__one", "slot").drop("__bucket", "__one")
 
