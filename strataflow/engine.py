@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow import values as V
-from strataflow.errors import CheckError
+from strataflow.errors import BudgetExceeded, CheckError, suggestion
 from strataflow.operators import aggregates, versions
 from strataflow.plans import rewrite
 from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, constant_val, distinct
@@ -102,8 +102,6 @@ class Engine:
         for body in [q.goal, *[r.body for r in q.rules]]:
             for n, _ in rewrite.reads(body):
                 if n not in arity and n not in self.catalog.relations and n not in self.catalog.predicates and not n.startswith(("graph.", "~")):
-                    from strataflow.errors import suggestion
-
                     raise CheckError("unknown", f"no relation {n}{suggestion(n, [*arity, *self.catalog.names()])}")
         if q.select is not None:
             bound = set(body_vars(tuple(x for x in q.goal if not isinstance(x, Not))))
@@ -255,6 +253,32 @@ class Engine:
         plan = self.query(program, **more)._sc._jvm.PythonSQLUtils.explainString(self.query(program, **more)._jdf.queryExecution(), "formatted")
         return f"{show(q)}\n\ncomponents: {'; '.join(parts) or 'none'}\n\n{plan}"
 
+    def kinds(self, program: str, **more) -> list[tuple[str, str]]:
+        """The answer's columns with the Spark types that hold them."""
+        return [(f.name, f.dataType.simpleString()) for f in self.query(program, ordered=False, **more).schema]
+
+    def why(self, program: str, row: tuple, most: int = 20_000) -> list:
+        """The derivations of one answer row, as trees down to base facts.
+
+        Told by the plain evaluator over the base relations that the program reads, which must hold
+        `most` rows at most together: trees are for looking at, not for large data.
+        """
+        from strataflow.naive import Naive
+
+        q = self.prepared(parse(program))
+        todo, seen = [q.goal, *[r.body for r in q.rules]], set()
+        for body in todo:
+            seen |= {n for n, _ in rewrite.reads(body) if n in self.catalog.relations}
+        facts, left = {}, most
+        for n in sorted(seen):
+            r = self.catalog.relations[n]
+            rows = r.df.select(*r.labels).limit(left + 1).collect()
+            left -= len(rows)
+            if left < 0:
+                raise BudgetExceeded(f"more than {most} base facts")
+            facts[n] = [tuple(x) for x in rows]
+        return Naive(facts, q.rules).why(q, row)
+
     def why_empty(self, program: str) -> str:
         """Of a goal without rows, the first literal at which none were left, as written."""
         q = self.prepared(parse(program))

@@ -74,13 +74,16 @@ class Compiler:
         if name in self.rules:
             self.derive(self.group[name])
         elif name in self.catalog.relations:
-            self.done[name] = self.base(name, self.catalog.relations[name])
+            rel = self.base(name, self.catalog.relations[name])
+            if self.catalog.relations[name].reload:
+                return rel
+            self.done[name] = rel
         else:
             raise CheckError("unknown", f"no relation {name}{suggestion(name, [*self.rules, *self.catalog.names()])}")
         return self.done[name]
 
     def base(self, name: str, r: Relation) -> Rel:
-        df = r.df
+        df = r.reload() if r.reload else r.df
         labels, kinds = r.labels, r.kinds
         if "__versions" in df.columns:
             inside = lambda v: F.exists("__versions", lambda x: (x["from"] <= v) & (v < x["to"]))
