@@ -576,7 +576,7 @@ class Compiler:
             a, b = self.value(f, x.left), self.value(f, x.right)
             if x.op not in ("=", "!=") and a.kind.unit and b.kind.unit and a.kind.unit != b.kind.unit:
                 raise CheckError("type", f"{a.kind.unit} and {b.kind.unit} have no order")
-            condition = V.compare(x.op, a, b)
+            condition = V.compare(x.op, a, b, filtering=True)
             for side, v in ((x.left, a), (x.right, b)):
                 if isinstance(side, (Op, Call)) and getattr(side, "name", "") not in MAY_BE_ABSENT:
                     condition = condition & ~V.is_absent(v)

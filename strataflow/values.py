@@ -149,16 +149,17 @@ def nan_free(v: Val) -> Column | None:
     return None if v.kind.whole or v.kind.name != "num" else ~F.isnan(v.col.cast("double"))
 
 
-def compare(op: str, a: Val, b: Val) -> Column:
-    """A comparison as a filter: never null. Absent values are equal to each other and have no order."""
+def compare(op: str, a: Val, b: Val, filtering: bool = False) -> Column:
+    """A comparison that is never null, or with `filtering` may be null for false, so that it reaches the scan.
+    Absent values are equal to each other and have no order."""
     if op == "!=":
         return ~compare("=", a, b)
     if op == "=":
         out = same(a, b)
         guard = nan_free(a) if a.kind.name == b.kind.name == "num" else None
         if guard is not None:
-            out = out & F.coalesce(guard, F.lit(True))
-        return F.coalesce(out, F.lit(False))
+            out = out & (F.coalesce(guard, F.lit(True)) if a.kind.nullable else guard)
+        return out if filtering else F.coalesce(out, F.lit(False))
     names = {a.kind.name, b.kind.name}
     test = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
     if "any" in names:
@@ -173,7 +174,7 @@ def compare(op: str, a: Val, b: Val) -> Column:
     for guard in (nan_free(a), nan_free(b)):
         if guard is not None:
             out = out & guard
-    return out if not (a.kind.nullable or b.kind.nullable) else F.coalesce(out, F.lit(False))
+    return out if filtering or not (a.kind.nullable or b.kind.nullable) else F.coalesce(out, F.lit(False))
 
 
 def order_keys(v: Val, descending: bool = False) -> list[Column]:
