@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.common import cut, table
 from strataflow.llm.components import components
-from strataflow.llm.textnp import LOWER, U64, buffers, mix, slices, span_hashes, word_bounds
+from strataflow.llm.textnp import LOWER, U64, buffers, mix, release, slices, span_hashes, word_bounds
 
 #: Samples; bands of ROWS samples, dealt from BANDS * ROWS / SAMPLES shuffles of them. At a similarity of
 #: 0.8 two sets share no band once in about a million times, above 0.85 practically never.
@@ -32,8 +32,8 @@ BANDS = 56
 #: Bits of an odd sketch, and the most that may differ between sets of similarity 0.8: five deviations above what is expected.
 BITS = 1024
 MOST_BITS = 118
-#: Rows of one half of a tile.
-BLOCK = 64
+#: Rows of a block, and of either half of a tile of two.
+BLOCK = 128
 
 
 def constants(seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 none = pa.array(n == 0)
                 lists = [pa.compute.if_else(none, None, fixed(v)) for v in (keys, sketch)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), *[pa.array(v.view(np.int64)) for v in d], *lists], names=["id", "n", "d1", "d2", "keys", "sketch"])
+            release()
 
     schema = "id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>"
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -229,6 +230,7 @@ def tiled(items: DataFrame, test: Callable[[pa.Table, int], np.ndarray], percent
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+        release()
 
     tiles = items.select("g", "x", "y", "id", "comp", "n", "payload").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
     return tiles.mapInArrow(run, "a long, b long")
@@ -238,7 +240,7 @@ def blocks(items: DataFrame) -> DataFrame:
     """One tile a row: the rows of each g dealt into blocks by hash, each held against itself."""
     sizes = items.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
     sizes = cut(sizes.where(F.col("rows") > 1), "sizes")
-    many = F.ceil(F.col("rows") / (2 * BLOCK)).cast("long")
+    many = F.ceil(F.col("rows") / BLOCK).cast("long")
     placed = items.alias("i").join(sizes.alias("s"), F.col("i.g") == F.col("s.g")).select("i.*", F.pmod(F.xxhash64("i.id"), many).alias("x"))
     return placed.withColumn("y", F.col("x"))
 
@@ -247,9 +249,10 @@ def crossed(items: DataFrame) -> DataFrame:
     """Tiles of two blocks for each g that has more components than one. A large component has blocks of its own;
     its blocks aren't held against each other, nor a block against another with the same only component."""
     by = items.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = by.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("rows")).where((F.col("comps") > 1) & (F.col("rows") > 2 * BLOCK))
-    by = cut(by.join(mixed, "g").select(F.col("g").alias("bg"), F.col("comp").alias("bc"), "c", F.ceil(F.col("rows") / BLOCK).alias("k")), "sizes")
-    large = F.col("c") > BLOCK // 2
+    large = F.col("c") > BLOCK
+    few = F.sum(F.when(~large, F.col("c")).otherwise(0))
+    mixed = by.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("rows"), few.alias("few")).where((F.col("comps") > 1) & (F.col("rows") > BLOCK))
+    by = cut(by.join(mixed, "g").select(F.col("g").alias("bg"), F.col("comp").alias("bc"), "c", F.ceil(F.greatest(F.lit(1), F.col("few")) / BLOCK).alias("k")), "sizes")
     # A block's name: a large component's blocks are named after it, others have negative numbers.
     home = F.when(large, F.struct(F.col("comp").alias("p"), F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).alias("q"))).otherwise(
         F.struct(F.lit(-1).cast("long").alias("p"), F.pmod(F.xxhash64("comp"), F.col("k")).alias("q"))
@@ -257,8 +260,8 @@ def crossed(items: DataFrame) -> DataFrame:
     placed = cut(items.join(by, (F.col("g") == F.col("bg")) & (F.col("comp") == F.col("bc"))).select(*items.columns, home.alias("home")), "blocks")
     named = placed.select("g", "home").distinct().groupBy("g").agg(F.collect_list("home").alias("homes"))
     named = cut(named, "homes").withColumnRenamed("g", "h")
-    dealt = placed.join(named, F.col("g") == F.col("h")).select("g", "id", "comp", "n", "payload", "home", F.explode("homes").alias("other"))
-    dealt = dealt.where((F.col("home.p") != F.col("other.p")) | (F.col("home.p") == -1))
+    others = F.filter("homes", lambda h: (h["p"] != F.col("home.p")) | (h["p"] == -1))
+    dealt = placed.join(named, F.col("g") == F.col("h")).select("g", "id", "comp", "n", "payload", "home", F.explode(others).alias("other"))
     return dealt.select("g", F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"), "id", "comp", "n", "payload")
 
 
@@ -308,6 +311,7 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) ->
                 x, cuts = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(cuts)), lists], names=["g", "id", "n", "payload"])
+            release()
 
     return picked.select(F.col("root").alias("g"), "id", "text").mapInArrow(run, "g long, id long, n long, payload array<long>")
 
