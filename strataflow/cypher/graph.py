@@ -54,6 +54,21 @@ class Graph:
                 raise CheckError("arity", f"{x.relation} has {len(r.labels)} arguments, not {x.arity}")
 
 
+    def describe(self) -> str:
+        """The labels with their properties and the relationship types, one a line."""
+        lines = [f"({n.label} {{{', '.join(n.props)}}})" for n in self.nodes]
+        return "\n".join(lines + [f"-[:{e.type}{' {' + ', '.join(e.props) + '}' if e.props else ''}]->" for e in self.edges])
+
+
+def kinds_of(catalog: Catalog, node: str = "node", edge: str = "edge") -> tuple[list[str], list[str]]:
+    """The node and edge kinds that a node-edge-attr store holds, read from its data: one row a kind."""
+    found = []
+    for name in (node, edge):
+        r = catalog.relations[name]
+        found.append(sorted(x[0] for x in r.df.select(r.labels[1]).distinct().collect() if x[0] is not None))
+    return found[0], found[1]
+
+
 def store(node_kinds: list[str], edge_kinds: list[str], node: str = "node", edge: str = "edge", attr: str = "attr") -> Graph:
     """The view of a store that keeps node(id, kind), edge(from, kind, to) and attr(id, key, value)."""
     label = lambda k: "".join(p.capitalize() for p in k.split("_"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataflow import values as V
@@ -28,16 +28,18 @@ class Engine:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None) -> None:
         self.spark = spark
         self.catalog = catalog or Catalog(spark)
+        self.kept: dict[str, tuple[str, tuple[Rule, ...]]] = {}  # materialized members of modules, with the modules' rules
 
     # asking
 
-    def query(self, program: str | Query, params: dict | None = None, names: Iterable[str] | None = None, ordered: bool = True, at: int | None = None, across: Iterable[int] | None = None, cites: bool = False, after: tuple | None = None, limits: Limits | None = None) -> DataFrame:
+    def query(self, program: str | Query, params: dict | None = None, names: Iterable[str] | None = None, ordered: bool = True, at: int | None = None, across: Iterable[int] | None = None, cites: bool = False, after: tuple | None = None, limits: Limits | None = None, reasons: bool = False) -> DataFrame:
         """The answer to a program.
 
         params binds variables of the goal: to a value, or to a list of them, which the goal is joined with.
         names are the answer's columns, in place of the labels as written. at asks one version; across asks
         several at once and adds a column `versions`. cites adds the sources' citations. ordered=False leaves
-        out the final sort of an answer that isn't cut.
+        out the final sort of an answer that isn't cut. reasons adds a column `why`: for each aggregate that is absent, by
+        its column's name, what for: `no rows`, `no numbers` or `mixed units: ...`.
         """
         if at is not None and across is not None:
             raise CheckError("version", "ask at one version or across several")
@@ -48,7 +50,7 @@ class Engine:
         if vs is not None:
             q = self.across(q, vs)
         c = Compiler(self.catalog, q.rules, cites, at, vs, limits)
-        return self.answer(c, q, list(names) if names is not None else None, ordered, vs is not None, params)
+        return self.answer(c, q, list(names) if names is not None else None, ordered, vs is not None, params, reasons)
 
     def prepared(self, q: Query, params: dict | None = None) -> Query:
         """Linked with modules, checked, with macros and demand rewritten."""
@@ -149,7 +151,7 @@ class Engine:
         select = q.select or tuple(Column(Var(v), v) for v in dict.fromkeys(body_vars(q.goal)))
         return replace(q, rules=rules, goal=body(q.goal), select=(*select, Column(Var(VERSION), VERSION)))
 
-    def answer(self, c: Compiler, q: Query, names: list[str] | None, ordered: bool, across: bool, params: dict | None) -> DataFrame:
+    def answer(self, c: Compiler, q: Query, names: list[str] | None, ordered: bool, across: bool, params: dict | None, reasons: bool = False) -> DataFrame:
         goal = list(q.goal)
         select = list(q.select) if q.select is not None else [Column(Var(v), v) for v in dict.fromkeys(body_vars(q.goal)) if not v.startswith("~")]
         for i, col in enumerate(select):
@@ -172,7 +174,9 @@ class Engine:
                 raise CheckError("projection", f"?{name} isn't bound by the goal")
         wanted = [*items, *[a for a, _, _ in q.having]]
         if any(isinstance(i, Agg) for i in wanted):
-            rel = c.grouped(f, wanted)
+            if reasons and across:
+                raise CheckError("version", "reasons are told for one version at a time")
+            rel = c.grouped(f, wanted, reasons)
             df, kinds = rel.df, rel.kinds
             for n, (_, op, term) in enumerate(q.having, len(items)):
                 other = constant_val(term) if isinstance(term, Const) else V.Val(F.col(f"a{items.index(term)}"), kinds[items.index(term)])
@@ -191,6 +195,8 @@ class Engine:
         if across:
             shown.pop()
             labels.pop()
+            if q.limit is not None or q.offset:
+                df, q = self.paged_by_version(df, q, select, kinds, shown), replace(q, limit=None, offset=0)
             keep = [f"a{i}" for i in shown]
             df = df.groupBy(*keep).agg(F.array_sort(F.collect_set(f"a{len(items) - 1}")).alias("versions"), *([F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES)] if c.cites else []))
         df = self.paged(df, q, select, kinds, shown, ordered)
@@ -199,6 +205,10 @@ class Engine:
                 raise CheckError("projection", f"the answer has {len(shown)} columns, not {len(names)}")
             labels = names
         out = [V.text(V.Val(F.col(f"a{i}"), kinds[i])).alias(n) if kinds[i].name == "any" else F.col(f"a{i}").alias(n) for i, n in zip(shown, labels, strict=True)]
+        if reasons:
+            told = [x for i, n in zip(shown, labels, strict=True) if isinstance(items[i], Agg) for x in (F.lit(n), F.col(f"w{i}"))]
+            why = F.map_filter(F.create_map(*told), lambda _, w: w.isNotNull()) if told else F.create_map().cast("map<string,string>")
+            out.append(why.alias("why"))
         return df.select(*out, *(["versions"] if across else []), *([F.col(CITES).alias("cites")] if c.cites else []))
 
     def paged(self, df: DataFrame, q: Query, select: list[Column], kinds: list, shown: list[int], ordered: bool) -> DataFrame:
@@ -225,6 +235,16 @@ class Engine:
         program, columns = compile_query(graph, text, params)
         return self.query(program, names=columns, **more)
 
+    def paged_by_version(self, df: DataFrame, q: Query, select: list[Column], kinds: list, shown: list[int]) -> DataFrame:
+        """Each version's own page, before versions with equal rows are brought together."""
+        vals = [V.Val(F.col(f"a{i}"), kinds[i]) for i in shown]
+        keys = [k for item, down in q.order for k in V.order_keys(vals[[c.item for c in select].index(item)], down)]
+        order = Window.partitionBy(f"a{len(shown)}").orderBy(*keys, *[k for v in vals for k in V.order_keys(v)])
+        place = F.row_number().over(order)
+        most = q.offset + q.limit if q.limit is not None else None
+        df = df.withColumn("~place", place).where(F.col("~place") > q.offset)
+        return (df if most is None else df.where(F.col("~place") <= most)).drop("~place")
+
     # around asking
 
     def total(self, program: str, **more) -> int:
@@ -314,9 +334,19 @@ class Engine:
         df = cut(rel.df.select(*[f"a{i}" for i in range(len(rel.kinds))]), "derived")
         for module, own in list(self.catalog.modules.items()):
             self.catalog.modules[module] = tuple(r for r in own if r.rel != name)
+            if len(self.catalog.modules[module]) < len(own):
+                self.kept[name] = (module, own)
         self.catalog.add(name, df, required=[f"a{i}" for i, k in enumerate(rel.kinds) if not k.nullable])
         return self
 
+    def forget(self, name: str) -> Engine:
+        """Drops a materialized relation; a module's relation is derived by its rules again."""
+        self.catalog.relations.pop(name, None)
+        if name in self.kept:
+            module, own = self.kept.pop(name)
+            self.catalog.modules[module] = own
+        return self
+
     def diff(self, name: str, old: int, new: int) -> DataFrame:
         return versions.difference(self.catalog.relations[name].df, old, new)
 

@@ -53,6 +53,18 @@ def reduced(func: str, distinct: bool, v: Val) -> Val:
     return one_unit(v, col) if v.kind.name == "any" else Val(col, kind)
 
 
+def reason(func: str, v: Val) -> Column:
+    """Why the aggregate of a group is absent; null if it isn't."""
+    none = F.lit(None).cast("string")
+    if func in ("count", "present", "list"):
+        return none
+    out = F.when(F.count(V.numeric(v)) == 0, "no numbers") if func != "sum" else none
+    if v.kind.name == "any":
+        units = F.array_sort(F.collect_set(F.when((v.col["k"] == 1) & (v.col["u"] != ""), v.col["u"])))
+        out = F.coalesce(F.when(F.size(units) > 1, F.concat(F.lit("mixed units: "), F.array_join(units, ", "))), out)
+    return F.coalesce(F.when(F.count(F.lit(1)) == 0, "no rows") if func != "sum" else none, out)
+
+
 def listed(v: Val, distinct: bool) -> Column:
     """The values in default order as a JSON list; a group's list is one value, so it must fit in memory."""
     gather = F.collect_set if distinct else F.collect_list

@@ -176,18 +176,21 @@ class Compiler:
     def bad_head(self, r: Rule):
         raise CheckError("unbound", f"{r.rel}: a head's arguments are variables that the body binds, constants or aggregates")
 
-    def grouped(self, f: Frame, items: list) -> Rel:
-        """One row for each value of the plain items, the others reduced; one row over nothing where all are reduced."""
+    def grouped(self, f: Frame, items: list, reasons: bool = False) -> Rel:
+        """One row for each value of the plain items, the others reduced; one row over nothing where all are reduced.
+        With reasons, column w{i} says why item i is absent."""
         plain = [(i, f.val(a.name) if isinstance(a, Var) else V.constant(a.value, a.unit)) for i, a in enumerate(items) if not isinstance(a, Agg)]
         made = [(i, aggregates.reduced(a.func, a.distinct, f.val(a.var))) for i, a in enumerate(items) if isinstance(a, Agg)]
         aggs = [v.col.alias(f"a{i}") for i, v in made]
         aggs += [F.first(v.col).alias(f"a{i}") for i, v in plain if v.kind.name == "any"]
+        told = [f"w{i}" for i, a in enumerate(items) if isinstance(a, Agg)] if reasons else []
+        aggs += [aggregates.reason(a.func, f.val(a.var)).alias(f"w{i}") for i, a in enumerate(items) if reasons and isinstance(a, Agg)]
         if self.cites:
             aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES))
         keys = [V.key(v).alias(f"k{i}" if v.kind.name == "any" else f"a{i}") for i, v in plain]
         df = f.df.groupBy(*keys).agg(*aggs) if keys else f.df.agg(*aggs)
         kinds = {i: v.kind for i, v in [*plain, *made]}
-        return Rel(df.select(*[f"a{i}" for i in range(len(items))], *([CITES] if self.cites else [])), [kinds[i] for i in range(len(items))])
+        return Rel(df.select(*[f"a{i}" for i in range(len(items))], *told, *([CITES] if self.cites else [])), [kinds[i] for i in range(len(items))])
 
     def fixpoint(self, component: list[str]) -> None:
         """Semi-naive rounds: a rule reads the last round's new tuples at one recursive atom, all tuples at the others.

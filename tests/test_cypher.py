@@ -1,6 +1,6 @@
 import pytest
 
-from strataflow.cypher import Edge, Graph, Node, Refused, compile_query, store
+from strataflow.cypher import Edge, Graph, Node, Refused, compile_query, kinds_of, store
 from strataflow.engine import Engine
 
 GRAPH = Graph((Node("Package", "pkg", 3, 0, {"name": 0, "license": 1, "loc": 2}),), (Edge("IMPORTS", "imports", 2), Edge("USES", "uses", 3, 0, 1, {"weight": 2})))
@@ -68,5 +68,7 @@ def test_node_edge_attr_store(spark):
     e = Engine(spark)
     e.catalog.rows("node", [("f1", "func"), ("f2", "func"), ("d1", "doc")], "id string, kind string")
     e.catalog.rows("edge", [("f1", "calls", "f2"), ("d1", "names", "f1")], "f string, kind string, t string").rows("attr", [("f2", "lines", "7")], "id string, k string, v string")
-    g = store(["func", "doc"], ["calls", "names"])
+    assert kinds_of(e.catalog) == (["doc", "func"], ["calls", "names"])
+    g = store(*kinds_of(e.catalog))
+    assert "-[:CALLS]->" in g.describe()
     assert [tuple(r) for r in e.cypher(g, "MATCH (a:Func)-[:CALLS]->(b:Func) RETURN a, b.lines AS n").collect()] == [("f1", "7")]

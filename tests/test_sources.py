@@ -52,6 +52,28 @@ def test_across_equals_each_version(history):
     assert got == want
 
 
+def test_pages_are_each_version_s_own(history):
+    got = rows(history.query("imports(?a, ?b) => ?b, ?a order by ?b limit 1", across=[0, 1, 2]))
+    assert got == [("api", "app", [0, 1]), ("log", "app", [2])]
+
+
+def test_reasons(spark):
+    e = Engine(spark)
+    e.catalog.rows("v", [("a", 1.0)], "k string, x double", units={"x": "V"}).rows("i", [("a", 2.0), ("b", 5.0)], "k string, x double", units={"x": "A"})
+    got = rows(e.query("m(?k, ?x) :- v(?k, ?x); m(?k, ?x) :- i(?k, ?x); m(?k, ?x) => ?k, max(?x), min(?k), count(?x)", names=["k", "top", "low", "n"], reasons=True))
+    assert got == [("a", None, None, 2, {"top": "mixed units: A, V", "low": "no numbers"}), ("b", "5A", None, 1, {"low": "no numbers"})]
+    assert rows(e.query('v("z", ?x) => avg(?x), sum(?x)', names=["a", "s"], reasons=True)) == [(None, 0.0, {"a": "no rows"})]
+
+
+def test_materialized_members_are_forgotten(spark):
+    e = Engine(spark)
+    e.catalog.rows("r", [(1,)], "x int").module("m", "twice(?y) :- r(?x), ?y = ?x * 2;")
+    e.materialize("m.twice")
+    e.catalog.rows("r", [(5,)], "x int")
+    assert rows(e.query("m.twice(?x)")) == [(2,)]
+    assert rows(e.forget("m.twice").query("m.twice(?x)")) == [(10,)]
+
+
 def test_difference(history):
     assert sorted(rows(history.diff("imports", 0, 2))) == [("app", "api", "removed"), ("app", "log", "added")]
 
