@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflow.llm import secrets, sharding
+from strataflow.llm import quality, secrets, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -105,4 +105,31 @@ FROM t LEFT JOIN counted USING (doc_id) LEFT JOIN every USING (doc_id)
 """
 
 
-ORACLES = {"op1_sharding": OP1, "op2_neardup": OP2, "op6_mixing": OP6, "op7_topk": OP7, "op8_warc": OP8, "op9_secrets": op9()}
+def op10() -> str:
+    words = [w.replace("'", "''") for w in quality.COMMON_WORDS]
+    common = ", ".join(f"len(list_filter(ws, lambda x: lower(x) = '{w}'))" for w in words)
+    gone = lambda pattern: f"(length(body) - length(regexp_replace(body, '{pattern}', '', 'g')))"
+    distance = lambda p, q: (
+        f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0.0, list_sum(list_transform(list_zip(list_transform({p}, lambda v: v / list_sum({p})::DOUBLE), list_transform({q}, lambda v: v / list_sum({q})::DOUBLE)), "
+        "lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2)))) ELSE 0 END"
+    )
+    sums = lambda column, n: "[" + ", ".join(f"sum({column}[{i + 1}])" for i in range(n)) + "]"
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+wins AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS win FROM t WHERE len(ws) > 2),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1),
+inside AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM often) GROUP BY 1),
+lines AS (SELECT doc_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS ls FROM t),
+c AS (SELECT t.doc_id, lang, body, ws, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, {gone("[#*$%&|<>]")} AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words FROM t JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id)),
+h AS (SELECT *, [{gone("[a-z]+")}, {gone("[A-Z]+")}, {gone("[0-9]+")}, length(body) - word_chars, n_symbols, {gone("[^\x00-\x7F]+")}] AS six, [{common}] AS common FROM c),
+g AS (SELECT *, six || [length(body) - list_sum(six)::BIGINT] AS classes FROM h),
+r AS (SELECT lang AS l, {sums("classes", len(quality.CLASSES))} AS rc, {sums("common", len(words))} AS rw FROM g GROUP BY 1),
+j AS (SELECT g.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN n_words >= {quality.LEAST_WORDS} THEN {distance("classes", "rc")} ELSE 0 END AS dc, CASE WHEN list_sum(common) >= {quality.LEAST_COMMON} THEN {distance("common", "rw")} ELSE 0 END AS dw
+  FROM g JOIN r ON lang IS NOT DISTINCT FROM l)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= {quality.MOST_CLASSES} AND dw <= {quality.MOST_COMMON} AS kept FROM j
+"""
+
+
+ORACLES = {"op1_sharding": OP1, "op2_neardup": OP2, "op6_mixing": OP6, "op7_topk": OP7, "op8_warc": OP8, "op9_secrets": op9(), "op10_quality": op10()}

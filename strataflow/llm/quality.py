@@ -151,4 +151,5 @@ def judge(df: DataFrame, text: str, lang: str, keep: list[str]) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged, whole texts; references come from all documents of a language."""
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", ["doc_id"])
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", ["doc_id"])
+    return found.drop("class_distance", "common_distance")
