@@ -28,7 +28,7 @@ HIDDEN = ("__cites", "__id", "__versions")
 @dataclass
 class Relation:
     """df's visible columns are the arguments, in order. `required` columns hold no null, which spares joins
-    null-safe keys; `units` and `domains` are by column; `__cites`, `__id` and `__versions` are hidden columns. `reload` opens a source anew
+    null-safe keys; `units`, `domains` and `entities` (what a column's values name) are by column; `__cites`, `__id` and `__versions` are hidden columns. `reload` opens a source anew
     for every atom, for those that keep what was pushed to them."""
 
     df: DataFrame
@@ -36,6 +36,7 @@ class Relation:
     units: dict[str, str] = field(default_factory=dict)
     domains: dict[str, tuple] = field(default_factory=dict)
     doc: str = ""
+    entities: dict[str, str] = field(default_factory=dict)
     reload: Callable[[], DataFrame] | None = None
 
     @property
