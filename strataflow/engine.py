@@ -16,7 +16,7 @@ from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, constant_v
 from strataflow.plans.text import parse, show
 from strataflow.plans.tree import Agg, Atom, Call, Column, Compare, Const, Either, Maybe, Not, Op, Query, Reduce, Rule, Var, body_vars, expr_vars
 from strataflow.sources.catalog import Catalog
-from strataflow.sources.storage import cut
+from strataflow.sources.storage import cut, importable
 
 VERSION = "~v"
 
@@ -26,6 +26,7 @@ class Engine:
     while the answer is planned."""
 
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None) -> None:
+        importable(spark)
         self.spark = spark
         self.catalog = catalog or Catalog(spark)
         self.kept: dict[str, tuple[str, tuple[Rule, ...]]] = {}  # materialized members of modules, with the modules' rules

@@ -11,13 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow import values as V
 from strataflow.errors import BudgetExceeded, CheckError, suggestion
 from strataflow.functions import registry
-from strataflow.operators import aggregates, walks
+from strataflow.operators import aggregates, kernel, walks
 from strataflow.plans import rewrite
 from strataflow.plans.tree import Agg, Atom, Call, Compare, Const, Either, Maybe, Not, Op, Reduce, Rule, Var, Wild, atoms, body_vars, expr_vars, literal_vars, map_terms
 from strataflow.sources.catalog import Catalog, Relation
@@ -203,6 +204,8 @@ class Compiler:
         first: dict[str, Rel | None] = {n: self.union([self.head(r) for r in exits[n]]) if exits[n] else None for n in component}
         kinds = self.settled(component, first, loops)
         spark = self.catalog.spark
+        if self.in_memory(component, first, loops, kinds):
+            return
         paths: dict[str, list[str]] = {n: [] for n in component}
         schema, delta, total = {}, {}, {}
         for n in component:
@@ -247,6 +250,32 @@ class Compiler:
         for n in component:
             self.done[n] = Rel(total[n], kinds[n])
 
+    def in_memory(self, component: list[str], first: dict[str, Rel | None], loops: dict[str, list[Rule]], kinds: dict[str, list[Kind]]) -> bool:
+        """Runs a small component's rounds on the driver, if it is one; see operators.kernel."""
+        rules = [r for n in component for r in loops[n]]
+        simple = lambda ks: all(k.name in ("num", "text") and not k.unit for k in ks)
+        if self.cites or self.versions is not None or not kernel.fits(rules) or not all(simple(k) for k in kinds.values()):
+            return False
+        outside = {x.rel for r in rules for x in r.body if isinstance(x, Atom) and x.rel not in component}
+        if any(n in self.catalog.predicates or not simple(self.relation(n).kinds) for n in outside):
+            return False
+        left, found = kernel.READ, {}
+        parts = [(n, self.plain(self.cast(first[n], kinds[n]).df, kinds[n])) for n in component if first[n]] + [(n, self.relation(n).df.select(*[f"a{i}" for i in range(len(self.relation(n).kinds))])) for n in sorted(outside)]
+        for n, df in parts:
+            found[n] = [tuple(t) for t in df.limit(left + 1).collect()]  # never more than READ tuples in all
+            left -= len(found[n])
+            if left < 0 or any(v != v for t in found[n] for v in t):  # NaN has an equality of its own
+                return False
+        start = {n: found.get(n, []) for n in component}
+        done = kernel.fixpoint(component, loops, start, {n: found[n] for n in outside}, self.limits.rounds)
+        if done is None:
+            return False
+        for n in component:
+            schema = self.empty(kinds[n]).schema
+            columns = [pa.array([None if t[i] is None else float(t[i]) if f.dataType.typeName() == "double" else t[i] for t in done[n]], pa_type(f.dataType.typeName())) for i, f in enumerate(schema)]
+            self.done[n] = Rel(self.catalog.spark.createDataFrame(pa.table(columns, names=schema.names)), kinds[n])
+        return True
+
     def plain(self, df: DataFrame, kinds: list[Kind]) -> DataFrame:
         """Number columns as long or double, so that every round writes one schema."""
         cols = [F.col(f"a{i}").cast("bigint" if k.whole else "double").alias(f"a{i}") if k.name == "num" else F.col(f"a{i}") for i, k in enumerate(kinds)]
@@ -710,6 +739,10 @@ class Compiler:
         return self.join(f, self.scan(Atom("~walk", tuple(args)), Rel(out, [k if k.name == "text" and i == 2 else k for i, k in enumerate(kinds)])))
 
 
+def pa_type(name: str) -> pa.DataType:
+    return {"double": pa.float64(), "long": pa.int64(), "string": pa.string()}[name]
+
+
 def constant_val(c: Const) -> Val:
     v = V.constant(c.value, c.unit)
     object.__setattr__(v, "constant", c.value)

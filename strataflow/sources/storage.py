@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the library from where it is; on a cluster it is installed."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH", ""), root) if p)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where the cluster names none, as in tests, a local folder is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

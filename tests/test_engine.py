@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from strataflow.engine import Engine
 from strataflow.errors import BudgetExceeded, CheckError
 from strataflow.naive import Naive, num, rank
-from strataflow.operators import walks
+from strataflow.operators import kernel, walks
 from strataflow.plans.compiler import Limits
 from strataflow.plans.text import parse
 
@@ -122,6 +122,20 @@ def test_both_ways_of_walking_agree(engine, monkeypatch, low, high):
     assert [answers(engine, t) for t in texts] == small
 
 
+@pytest.mark.parametrize("limit", [0, 5, 10**6])
+def test_rounds_in_memory_and_as_jobs_agree(engine, monkeypatch, limit):
+    monkeypatch.setattr(kernel, "READ", limit)
+    for text in PROGRAMS:
+        if text.startswith(("r(", "odd(", "s(")):
+            assert answers(engine, text) == Naive(FACTS, parse(text).rules).answer(parse(text)), text
+
+
+def test_a_component_that_outgrows_memory(spark, monkeypatch):
+    rules, start = parse("p(?a, ?b) :- e(?a, ?b); p(?a, ?c) :- p(?a, ?b), p(?b, ?c); p(?a, ?b)").rules, {"p": [(i, i + 1) for i in range(30)]}
+    assert kernel.fixpoint(["p"], {"p": [rules[1]]}, start, {}, 100, derived=100) is None
+    assert len(kernel.fixpoint(["p"], {"p": [rules[1]]}, start, {}, 100)["p"]) == 465
+
+
 def test_exact_counts(spark):
     e = Engine(spark)
     e.catalog.rows("edge", [(f"v{i}", f"v{i + 1}") for i in range(149)], SCHEMAS["edge"])
