@@ -592,7 +592,10 @@ class Compiler:
             return constant_val(e)
         if isinstance(e, Op):
             args = [self.value(f, a) for a in e.args]
-            return registry.negative(args[0]) if e.name == "neg" else registry.arithmetic(e.name, *args)
+            if e.name == "neg":
+                return registry.negative(args[0])
+            out = registry.arithmetic(e.name, *args)
+            return registry.short_of(e.name, out, *args) if self.catalog.simplify else out
         if isinstance(e, Call):
             p = self.catalog.predicates[e.name]
             n = p.arity - 1

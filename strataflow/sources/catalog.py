@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.errors import CheckError, suggestion
-from strataflow.functions.registry import Predicate, standard
+from strataflow.functions.registry import Predicate, simplifying, standard
 from strataflow.functions.units import base
 from strataflow.plans.text import parse_rules
 from strataflow.plans.tree import Rule
@@ -50,10 +50,12 @@ class Relation:
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    """simplify cuts results of arithmetic to 15 digits where both operands can still be had back; it costs time."""
+
+    def __init__(self, spark: SparkSession, simplify: bool = False) -> None:
+        self.spark, self.simplify = spark, simplify
         self.relations: dict[str, Relation] = {}
-        self.predicates: dict[str, Predicate] = standard()
+        self.predicates: dict[str, Predicate] = standard() | (simplifying() if simplify else {})
         self.modules: dict[str, tuple[Rule, ...]] = {}
 
     def add(self, name: str, df: DataFrame, **more) -> Catalog:

@@ -10,6 +10,7 @@ from strataflow.naive import Naive, num, rank
 from strataflow.operators import kernel, walks
 from strataflow.plans.compiler import Limits
 from strataflow.plans.text import parse
+from strataflow.sources.catalog import Catalog
 
 FACTS = {
     "edge": [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("a", "c"), ("e", "e")],
@@ -218,6 +219,25 @@ def test_derivations():
     assert d.height == 2 and d.leaves() == {'edge("a", "c")', 'edge("c", "d")'}
 
 
+def test_simplified_arithmetic(spark):
+    e = Engine(spark, Catalog(spark, simplify=True))
+    pairs = [(i / 10, j / 100) for i in range(1, 12) for j in (7, 20, 33, 110, 215)]
+    e.catalog.rows("n", pairs, "a double, b double")
+    back = {
+        "+": (lambda a, b: a + b, lambda c, a: c - a, lambda c, b: c - b), "-": (lambda a, b: a - b, lambda c, a: a - c, lambda c, b: c + b),
+        "*": (lambda a, b: a * b, lambda c, a: c / a, lambda c, b: c / b), "/": (lambda a, b: a / b, lambda c, a: a / c if c else None, lambda c, b: c * b),
+    }
+    changed = 0
+    for op, (forward, to_b, to_a) in back.items():
+        got = {(a, b): c for a, b, c in answers(e, f"n(?a, ?b) => ?a, ?b, ?a {op} ?b")}
+        for (a, b), c in got.items():
+            short = float(f"{forward(a, b):.14e}")
+            want = short if to_b(short, a) == b and to_a(short, b) == a else forward(a, b)
+            assert c == want
+            changed += want != forward(a, b)
+    assert changed
+
+
 def test_absent_equals_absent_but_not_in_order(spark):
     e = Engine(spark)
     e.catalog.rows("l", [(1, None), (2, float("nan")), (3, 4.0)], "k int, v double").rows("r", [(None,), (float("nan"),), (4.0,)], "v double")
