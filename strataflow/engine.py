@@ -12,7 +12,7 @@ from strataflow import values as V
 from strataflow.errors import BudgetExceeded, CheckError, suggestion
 from strataflow.operators import aggregates, versions
 from strataflow.plans import rewrite
-from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, constant_val, distinct
+from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, cited, constant_val, distinct, gathered
 from strataflow.plans.text import parse, show
 from strataflow.plans.tree import Agg, Atom, Call, Column, Compare, Const, Either, Maybe, Not, Op, Query, Reduce, Rule, Var, body_vars, expr_vars
 from strataflow.sources.catalog import Catalog
@@ -164,7 +164,7 @@ class Engine:
                 given = self.spark.createDataFrame([(x,) for x in v], f"v_{k} {'string' if all(isinstance(x, str) for x in v) else 'double' if any(isinstance(x, float) for x in v) else 'bigint'}") if v else f.df.select(f"v_{k}").limit(0)
                 kind = V.kind_of(given.schema[0].dataType, False)
                 if c.cites:
-                    given = given.withColumn(CITES, F.array().cast("array<string>"))
+                    given = given.withColumn(CITES, cited())
                 f = c.join(f, Frame(given.distinct(), {k: kind}))
         if q.select is None:
             f = Frame(f.df, f.kinds)
@@ -188,7 +188,7 @@ class Engine:
             df = f.df.select(*[v.col.alias(f"a{i}") for i, v in enumerate(vals)], *([CITES] if c.cites else []))
             if c.cites:
                 keys = [V.key(V.Val(F.col(f"a{i}"), k)).alias(f"k{i}") for i, k in enumerate(kinds)]
-                df = df.groupBy(*keys).agg(*[F.max(f"a{i}").alias(f"a{i}") for i in range(len(kinds))], F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES))
+                df = df.groupBy(*keys).agg(*[F.max(f"a{i}").alias(f"a{i}") for i in range(len(kinds))], gathered().alias(CITES))
             else:
                 df = distinct(df, df.columns, kinds)
         shown = list(range(len(items)))
@@ -199,7 +199,7 @@ class Engine:
             if q.limit is not None or q.offset:
                 df, q = self.paged_by_version(df, q, select, kinds, shown), replace(q, limit=None, offset=0)
             keep = [f"a{i}" for i in shown]
-            df = df.groupBy(*keep).agg(F.array_sort(F.collect_set(f"a{len(items) - 1}")).alias("versions"), *([F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES)] if c.cites else []))
+            df = df.groupBy(*keep).agg(F.array_sort(F.collect_set(f"a{len(items) - 1}")).alias("versions"), *([gathered().alias(CITES)] if c.cites else []))
         df = self.paged(df, q, select, kinds, shown, ordered)
         if names is not None:
             if len(names) != len(shown):
@@ -210,7 +210,7 @@ class Engine:
             told = [x for i, n in zip(shown, labels, strict=True) if isinstance(items[i], Agg) for x in (F.lit(n), F.col(f"w{i}"))]
             why = F.map_filter(F.create_map(*told), lambda _, w: w.isNotNull()) if told else F.create_map().cast("map<string,string>")
             out.append(why.alias("why"))
-        return df.select(*out, *(["versions"] if across else []), *([F.col(CITES).alias("cites")] if c.cites else []))
+        return df.select(*out, *(["versions"] if across else []), *([F.col(CITES)["c"].alias("cites")] if c.cites else []))
 
     def paged(self, df: DataFrame, q: Query, select: list[Column], kinds: list, shown: list[int], ordered: bool) -> DataFrame:
         vals = [V.Val(F.col(f"a{i}"), kinds[i]) for i in shown]

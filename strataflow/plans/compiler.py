@@ -20,12 +20,16 @@ from strataflow.errors import BudgetExceeded, CheckError, suggestion
 from strataflow.functions import registry
 from strataflow.operators import aggregates, kernel, walks
 from strataflow.plans import rewrite
+from strataflow.plans.text import show
 from strataflow.plans.tree import Agg, Atom, Call, Compare, Const, Either, Maybe, Not, Op, Reduce, Rule, Var, Wild, atoms, body_vars, expr_vars, literal_vars, map_terms
 from strataflow.sources.catalog import Catalog, Relation
 from strataflow.sources.storage import write
 from strataflow.values import Kind, Val
 
 CITES = "__cites"
+#: What a tuple carries when citations are asked for: the height of its derivation, the rule's text and the citations.
+#: Of several derivations the least is kept, so the shortest. A fixpoint's rounds find heights in order.
+CITE_TYPE = "struct<h:int,r:string,c:array<string>>"
 #: Functions whose result may be absent.
 MAY_BE_ABSENT = ("coalesce", "num.unit")
 
@@ -96,7 +100,7 @@ class Compiler:
         cols = [F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(labels)]
         if self.cites:
             own = F.col(CITES) if CITES in df.columns else F.array().cast("array<string>")
-            cols.append(F.coalesce(own, F.array().cast("array<string>")).alias(CITES))
+            cols.append(cited(F.coalesce(own, F.array().cast("array<string>"))).alias(CITES))
         cols.append(F.col("__id").cast("string").alias("__id") if "__id" in df.columns else F.lit(None).cast("string").alias("__id"))
         return Rel(df.select(*cols), kinds)
 
@@ -144,7 +148,7 @@ class Compiler:
         names = [f"a{i}" for i in range(len(kinds))]
         if self.cites:
             keys = [V.key(Val(F.col(n), k)).alias(f"k{i}") for i, (n, k) in enumerate(zip(names, kinds, strict=True))]
-            return df.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names], F.min(F.struct(F.size(CITES), CITES))[CITES].alias(CITES)).select(*names, CITES) if names else df.limit(1)
+            return df.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names], F.min(CITES).alias(CITES)).select(*names, CITES) if names else df.limit(1)
         return distinct(df, names, kinds) if names else df.limit(1)
 
     def head(self, r: Rule, swap: dict[int, Rel] | None = None) -> Rel:
@@ -152,7 +156,7 @@ class Compiler:
         if not r.body:
             one = self.catalog.spark.range(1)
             if self.cites:
-                one = one.withColumn(CITES, F.array().cast("array<string>"))
+                one = one.withColumn(CITES, cited())
             vals = [V.constant(a.value, a.unit) if isinstance(a, Const) else self.bad_head(r) for a in r.args]
             return Rel(one.select(*[v.col.alias(f"a{i}") for i, v in enumerate(vals)], *([CITES] if self.cites else [])), [v.kind for v in vals])
         body, args = list(r.body), []
@@ -170,9 +174,10 @@ class Compiler:
         if any(isinstance(a, Agg) for a in args):
             if len(self.rules[r.rel]) > 1:
                 raise CheckError("aggregate", f"{r.rel} aggregates, so it can have one rule only")
-            return self.grouped(f, args)
+            made = self.grouped(f, args)
+            return Rel(made.df.withColumn(CITES, derived(r)), made.kinds) if self.cites else made
         vals = [f.val(a.name) if isinstance(a, Var) else V.constant(a.value, a.unit) for a in args]
-        return Rel(f.df.select(*[v.col.alias(f"a{i}") for i, v in enumerate(vals)], *([CITES] if self.cites else [])), [v.kind for v in vals])
+        return Rel(f.df.select(*[v.col.alias(f"a{i}") for i, v in enumerate(vals)], *([derived(r).alias(CITES)] if self.cites else [])), [v.kind for v in vals])
 
     def bad_head(self, r: Rule):
         raise CheckError("unbound", f"{r.rel}: a head's arguments are variables that the body binds, constants or aggregates")
@@ -187,7 +192,7 @@ class Compiler:
         told = [f"w{i}" for i, a in enumerate(items) if isinstance(a, Agg)] if reasons else []
         aggs += [aggregates.reason(a.func, f.val(a.var)).alias(f"w{i}") for i, a in enumerate(items) if reasons and isinstance(a, Agg)]
         if self.cites:
-            aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES))
+            aggs.append(gathered().alias(CITES))
         keys = [V.key(v).alias(f"k{i}" if v.kind.name == "any" else f"a{i}") for i, v in plain]
         df = f.df.groupBy(*keys).agg(*aggs) if keys else f.df.agg(*aggs)
         kinds = {i: v.kind for i, v in [*plain, *made]}
@@ -283,7 +288,7 @@ class Compiler:
 
     def empty(self, kinds: list[Kind]) -> DataFrame:
         ddl = {"num": "double", "text": "string", "any": V.BOX}
-        fields = [f"a{i} {'bigint' if k.whole else ddl.get(k.name, k.name)}" for i, k in enumerate(kinds)] + [f"{CITES} array<string>"] * self.cites
+        fields = [f"a{i} {'bigint' if k.whole else ddl.get(k.name, k.name)}" for i, k in enumerate(kinds)] + [f"{CITES} {CITE_TYPE}"] * self.cites
         return self.catalog.spark.createDataFrame([], ", ".join(fields))
 
     def settled(self, component: list[str], first: dict[str, Rel | None], loops: dict[str, list[Rule]]) -> dict[str, list[Kind]]:
@@ -309,7 +314,7 @@ class Compiler:
 
     def unit(self) -> Frame:
         df = self.catalog.spark.range(1).select(F.lit(1).alias("~one"))
-        return Frame(df.withColumn(CITES, F.array().cast("array<string>")) if self.cites else df, {})
+        return Frame(df.withColumn(CITES, cited()) if self.cites else df, {})
 
     def body(self, literals: tuple, seed: Frame | None = None, swap: dict[int, Rel] | None = None) -> Frame:
         pending = [(x, (swap or {}).get(i)) for i, x in enumerate(literals)]
@@ -487,14 +492,14 @@ class Compiler:
                 kinds[n] = replace(kinds[n], nullable=False)
         df = df.drop(*[f"r_{n}" for n in shared], "~r")
         if self.cites:
-            df = df.withColumn(CITES, F.array_union(CITES, F.coalesce("~more", F.array().cast("array<string>")))).drop("~more")
+            df = df.withColumn(CITES, both_cited(F.col(CITES), F.coalesce("~more", cited()))).drop("~more")
         return Frame(df, kinds)
 
     def domain(self, f: Frame, names: list[str]) -> Frame:
         """The distinct values of these variables, as bindings of their own."""
         df = f.df.select(*[F.col(f"`v_{n}`") for n in names]).distinct() if names else f.df.limit(1).select(F.lit(1).alias("~one"))
         if self.cites:
-            df = df.withColumn(CITES, F.array().cast("array<string>"))
+            df = df.withColumn(CITES, cited())
         return Frame(df, {n: f.kinds[n] for n in names})
 
     def inside(self, f: Frame | None, body: tuple) -> tuple[Frame, list[str]]:
@@ -519,7 +524,7 @@ class Compiler:
         if x.agg.var not in inner.kinds:
             raise CheckError("unbound", f"?{x.agg.var} isn't bound in the braces")
         made = aggregates.reduced(x.agg.func, x.agg.distinct, inner.val(x.agg.var))
-        cites = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(CITES)))).alias(CITES)] if self.cites else []
+        cites = [gathered().alias(CITES)] if self.cites else []
         col = made.col.alias(f"v_{x.var}")
         df = inner.df.groupBy(*[F.col(f"`v_{n}`") for n in shared]).agg(col, *cites) if shared else inner.df.agg(col, *cites)
         g = Frame(df, {**{n: inner.kinds[n] for n in shared}, x.var: made.kind})
@@ -738,10 +743,31 @@ class Compiler:
             args = [x.args[1], x.args[2], x.args[6]]
         out = out.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)])
         if self.cites:
-            out = out.withColumn(CITES, F.array().cast("array<string>"))
+            out = out.withColumn(CITES, cited())
         return self.join(f, self.scan(Atom("~walk", tuple(args)), Rel(out, [k if k.name == "text" and i == 2 else k for i, k in enumerate(kinds)])))
 
 
+def cited(cites: Column | None = None) -> Column:
+    """What base facts carry; without an argument, what cites nothing."""
+    return F.struct(F.lit(0).alias("h"), F.lit("").alias("r"), (F.array() if cites is None else cites).cast("array<string>").alias("c"))
+
+
+def both_cited(a: Column, b: Column) -> Column:
+    return F.struct(F.greatest(a["h"], b["h"]).alias("h"), F.lit("").alias("r"), F.array_sort(F.array_union(a["c"], b["c"])).alias("c"))
+
+
+def derived(r: Rule) -> Column:
+    c = F.col(CITES)
+    return F.struct((c["h"] + 1).alias("h"), F.lit(show(r)).alias("r"), F.array_sort(c["c"]).alias("c"))
+
+
+def gathered() -> Column:
+    """The citations of a group's bindings together."""
+    c = F.col(CITES)
+    joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list(c["c"]))))
+    return F.struct(F.coalesce(F.max(c["h"]), F.lit(0)).alias("h"), F.lit("").alias("r"), joined.alias("c"))
+
+
 def pa_type(name: str) -> pa.DataType:
     return {"double": pa.float64(), "long": pa.int64(), "string": pa.string()}[name]
 

@@ -110,6 +110,12 @@ def test_citations_through_recursion(spark):
     e.catalog.rows("edge", [("a", "b", ["1"]), ("b", "c", ["2"]), ("a", "c", ["3"])], "f string, t string, __cites array<string>")
     got = rows(e.query("r(?a, ?b) :- edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), edge(?b, ?c); r(?a, ?b)", cites=True))
     assert got == [("a", "b", ["1"]), ("a", "c", ["3"]), ("b", "c", ["2"])]
+    # The shortest derivation is cited whatever its citations, and of equally short ones that of the first rule by its text.
+    e.catalog.rows("long", [("a", "c", ["0"])], "f string, t string, __cites array<string>")
+    deep = "m(?a, ?b) :- long(?a, ?b); r(?a, ?b) :- m(?a, ?b); r(?a, ?b) :- edge(?a, ?b); r(?a, ?b)"
+    assert ("a", "c", ["3"]) in rows(e.query(deep, cites=True))
+    assert ("a", "c", ["3"]) in rows(e.query("r(?a, ?b) :- long(?a, ?b); r(?a, ?b) :- edge(?a, ?b); r(?a, ?b)", cites=True))
+    assert rows(e.query("p(?a, count(?b)) :- edge(?a, ?b); p(?a, ?n)", cites=True)) == [("a", 2, ["1", "3"]), ("b", 1, ["2"])]
     assert rows(e.query("edge(?a, ?b) => ?a, count(?b)", cites=True)) == [("a", 2, ["1", "3"]), ("b", 1, ["2"])]
 
 
