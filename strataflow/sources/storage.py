@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,7 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where the cluster names none, as in tests, a local folder is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="strataflow-")
+        own = tempfile.mkdtemp(prefix="strataflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
