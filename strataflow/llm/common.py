@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="strataflow-")
+        own = tempfile.mkdtemp(prefix="strataflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -62,19 +66,16 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     rows alike in all of `order` are exchangeable.
     """
     names = [f"__g{i}" for i in range(len(group))]
-    keyed = df.withColumns({n: F.col(f"`{g}`") for n, g in zip(names, group, strict=True)})
-    base = keyed.groupBy(*names, F.col(bucket).alias("__b")).agg(F.sum(value).alias("__sum"))
+    # Text keys without nulls: the join below then meets the rows where the window has put them.
+    keyed = df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(f"`{g}`").cast("string")), F.lit("-")) for n, g in zip(names, group, strict=True)})
+    keyed = keyed.withColumn("__b", F.col(bucket))
+    base = keyed.groupBy(*names, "__b").agg(F.sum(value).alias("__sum"))
     before = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select(
-        *[F.col(n).alias(f"{n}r") for n in names], F.col("__b").alias("__br"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base")
-    )
-    local = Window.partitionBy(*names, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select(*names, "__b", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    local = Window.partitionBy(*names, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = keyed.withColumn("__local", F.coalesce(F.sum(value).over(local), F.lit(0)))
-    on = F.col(bucket) == F.col("__br")
-    for n in names:
-        on = on & F.col(n).eqNullSafe(F.col(f"{n}r"))
-    joined = rows.join(base, on, "left")
-    return joined.withColumn(out, (F.col("__base") + F.col("__local")).cast("long")).drop("__base", "__local", "__br", *names, *[f"{n}r" for n in names])
+    joined = rows.join(base, [*names, "__b"], "left")
+    return joined.withColumn(out, (F.col("__base") + F.col("__local")).cast("long")).drop("__base", "__local", "__b", *names)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WORD, prefix_sums, table, text_or_empty
+from strataflow.llm.common import WORD, cut, prefix_sums, table, text_or_empty
 
 #: The hash keys of a source are cut into this many ranges.
 RANGES = 1024
@@ -54,6 +54,8 @@ def mix(df: DataFrame, key: str, size: str, source: str, weights: list[float], s
     plan = targets(sums, weights, share, cap).select(
         F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target")
     )
+    # Written first, its size is known when the join below is planned: few sources are sent to the rows, not the rows shuffled.
+    plan = cut(plan, "targets")
     bits = RANGES.bit_length() - 1
     keyed = df.withColumn("__key", hash_key(F.col(f"`{key}`"))).withColumn("__range", F.shiftright("__key", 48 - bits))
     order = [F.col(c).asc_nulls_first() for c in ("__key", key, size)]
