@@ -29,6 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BAR = "▁"
+#: Bytes of text that are encoded together: more share more words, and take more memory.
+SLICE = 5 << 18
 #: Longer words, and words of the rare kinds below, are merged one by one.
 LONGEST = 64
 #: Unigram models score a character that they don't have so much below their worst piece.
@@ -409,7 +411,7 @@ def encoded(df: DataFrame, text: str, model: Model) -> DataFrame:
         encoder = _encoders[id(model)]
         for batch in batches:
             data, offsets = buffers(batch.column(at))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, cuts = encoder.encode(part, bounds)
                 back, ends = encoder.decode(ids, cuts)
