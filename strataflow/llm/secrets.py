@@ -125,9 +125,9 @@ def base_spans(text: Column) -> Column:
 
 
 def markov_spans(text: Column, base: Column, scores: Column, threshold: int = THRESHOLD) -> Column:
-    """Runs that the models call random and that touch no base span."""
+    """Runs that the models call random, but those inside a base span; one that is partly in a base span stays whole."""
     tested = F.filter(places(text, TOKEN, 3), lambda s: ratio(s["text"], scores) > (F.length(s["text"]) - 1) * threshold)
-    free = F.filter(tested, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.filter(tested, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return F.when(text.rlike(TOKEN), free).otherwise(no_spans())
 
 
