@@ -4,7 +4,7 @@ Everything on the main path is a DataFrame function. Spark's regular expressions
 their places; the places follow from the lengths of the pieces between the matches. The Markov models
 are character bigram models, one of random strings and one of ordinary identifiers, trained from
 labelled samples when the plan is built; a run of token characters is reported when its mean
-log-likelihood ratio is above a threshold. Ratios are whole thousandths, so sums are exact everywhere.
+log-likelihood ratio is above a threshold, and otherwise each stretch of it that is. Ratios are whole thousandths, so sums are exact everywhere.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ LEAST_VALUE = 6
 
 #: Runs of these characters, this long at least, are tested by the models.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Thousandths of a nat for each pair of characters.
 THRESHOLD = 800
@@ -109,12 +110,55 @@ def no_spans() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,end:int,text:string,extra:string>>")
 
 
-def ratio(token: Column, scores: Column) -> Column:
-    """The sum of the ratios of a token's character pairs."""
+def pair_ratios(token: Column, scores: Column) -> Column:
     size = len(ALPHABET)
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     ids = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    return let(ids, lambda x: F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: scores[a * size + b]), F.lit(0), lambda s, v: s + v))
+    return let(ids, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: scores[a * size + b]))
+
+
+def total(ratios: Column) -> Column:
+    return F.aggregate(ratios, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def stretches(ratios: Column, threshold: int) -> Column:
+    """The random stretches of a run, given its pairs' ratios: structs (first, last) of characters.
+
+    They are disjoint, of LEAST_RUN characters at least, and between them no stretch of that length has a mean
+    over the threshold. One pass over the sums of what the pairs have above it: a stretch opens as soon as some start
+    at least LEAST_RUN characters back has a smaller sum, grows while sums rise above its end's, and is
+    closed by the next that opens after its end. It begins at the least sum before it opened.
+    """
+    back = LEAST_RUN - 1
+    none = F.lit(-1)
+    zero = F.lit(0).cast("long")
+    state = ("sum", "past", "low", "low_at", "least", "least_at", "first", "last", "top", "opened")
+    named = lambda out, **now: F.struct(*[now[n].alias(n) for n in state], out.alias("out"))
+    begin = named(F.array().cast("array<struct<first:int,last:int>>"), sum=zero, past=zero, low=zero, low_at=none, least=zero, least_at=none, first=none, last=none, top=zero, opened=none)
+    done = lambda s: F.when(s["first"] >= 0, F.array_append(s["out"], F.struct(s["first"].alias("first"), s["last"].alias("last")))).otherwise(s["out"])
+
+    def step(s: Column, j: Column) -> Column:
+        at = j - back
+        past = s["past"] + F.when(at >= 1, F.get(ratios, at - 1) - threshold).otherwise(0)
+        sums = F.struct(*[s[n].alias(n) for n in (*state[2:], "out")], (s["sum"] + F.get(ratios, j - 1) - threshold).alias("sum"), past.alias("past"), at.alias("at"))
+        return let(sums, lambda v: let(lowered(v), lambda w: grown(w, j)))
+
+    def lowered(v: Column) -> Column:
+        lower = (v["at"] >= 0) & (v["at"] > v["last"]) & ((v["low_at"] < 0) | (v["past"] < v["low"]))
+        earlier = (v["first"] >= 0) & (v["at"] <= v["opened"]) & (v["past"] < v["least"])
+        pick = lambda c, n, x: F.when(c, v[x]).otherwise(v[n])
+        return named(
+            v["out"], sum=v["sum"], past=v["past"], first=v["first"], last=v["last"], top=v["top"], opened=v["opened"],
+            low=pick(lower, "low", "past"), low_at=pick(lower, "low_at", "at"), least=pick(earlier, "least", "past"), least_at=pick(earlier, "least_at", "at"),
+        )
+
+    def grown(w: Column, j: Column) -> Column:
+        same = {n: w[n] for n in state}
+        longer = named(w["out"], **same | {"first": w["least_at"], "last": j, "top": w["sum"], "low_at": none})
+        fresh = named(done(w), **same | {"first": w["low_at"], "last": j, "top": w["sum"], "opened": j, "least": w["low"], "least_at": w["low_at"], "low_at": none})
+        return F.when((w["first"] >= 0) & (w["sum"] > w["top"]), longer).when((w["low_at"] >= 0) & (w["sum"] > w["low"]), fresh).otherwise(w)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(ratios)), begin, step, done)
 
 
 def base_spans(text: Column) -> Column:
@@ -125,10 +169,23 @@ def base_spans(text: Column) -> Column:
 
 
 def markov_spans(text: Column, base: Column, scores: Column, threshold: int = THRESHOLD) -> Column:
-    """Runs that the models call random, but those inside a base span; one that is partly in a base span stays whole."""
-    tested = F.filter(places(text, TOKEN, 3), lambda s: ratio(s["text"], scores) > (F.length(s["text"]) - 1) * threshold)
-    free = F.filter(tested, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return F.when(text.rlike(TOKEN), free).otherwise(no_spans())
+    """Runs that the models call random, and the random stretches of other runs; none of them inside a base span.
+
+    A stretch is reported up to the next of '/', '=', '_' and '-' on either side, as its outermost pairs may look ordinary.
+    """
+    reach = lambda after: F.length(F.regexp_extract(after, "^[A-Za-z0-9+]*", 0))
+
+    def random_parts(run: Column, ratios: Column) -> Column:
+        ends = lambda x: F.struct((x["first"] - reach(F.reverse(F.substring(run["text"], F.lit(1), x["first"])))).alias("first"), (x["last"] + 1 + reach(F.substring(run["text"], x["last"] + 2, F.length(run["text"])))).alias("end"))
+        part = lambda x: let(ends(x), lambda y: F.struct(
+            (run["start"] + y["first"]).alias("start"), run["kind"].alias("kind"), (run["start"] + y["end"]).alias("end"),
+            F.substring(run["text"], y["first"] + 1, y["end"] - y["first"]).alias("text"), run["extra"].alias("extra"),
+        ))
+        return F.when(total(ratios) > F.size(ratios) * threshold, F.array(run)).otherwise(F.transform(stretches(ratios, threshold), part))
+
+    free = lambda spans: F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    found = F.flatten(F.transform(free(places(text, TOKEN, 3)), lambda run: let(pair_ratios(run["text"], scores), lambda r: random_parts(run, r))))
+    return F.when(text.rlike(TOKEN), free(found)).otherwise(no_spans())
 
 
 def score_table(scores: tuple[int, ...]) -> Column:

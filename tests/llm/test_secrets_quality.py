@@ -53,6 +53,31 @@ def test_random_runs_that_touch_a_base_span_are_masked_whole(spark):
     assert [[s.kind for s in r.found] for r in secrets.scan(df).collect()] == [[1, 3], [2, 3], [2]]
 
 
+def test_random_stretches_of_ordinary_runs(spark):
+    rng, kinds = random.Random(11), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef")
+    path = lambda n: "/".join(rng.choices(secrets.IDENTIFIER_WORDS, k=n))
+    key = lambda n=24: "".join(rng.choices(kinds[0], k=n))
+    glued = ["/api/customers/accounts/settings/profile/address/history/Zk3v9QpL7xR2mW8tYb4N", "aws_secret_access_key=wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEYab"]
+    glued += [f"{path(25)}/{key()}/{path(25)}/{key()}/{path(25)}" for _ in range(20)]
+    plain = ["/".join(["customer", "address", "settings", "history", "profile"] * 30), "getCustomerAddressFromRequestHandler"]
+    mixed = [path(rng.randint(0, 9)) + "".join(rng.choices(rng.choice(kinds), k=rng.randint(0, 30))) + path(rng.randint(0, 9)) for _ in range(60)]
+    texts = glued + plain + mixed
+    table, place = secrets.default_table(), {c: i for i, c in enumerate(secrets.ALPHABET)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in secrets.scan(df).collect():
+        assert all(s.text == r.text[s.start : s.end] and (s.kind != 3 or s.end - s.start >= 20) for s in r.found)
+        gaps = re.split("!+", "".join("!" if any(s.start <= k < s.end for s in r.found) else c for k, c in enumerate(r.text)))
+        for g in gaps:
+            sums = [0]
+            for a, b in zip(g, g[1:], strict=False):
+                sums.append(sums[-1] + table[place[a] * len(place) + place[b]] - secrets.THRESHOLD)
+            assert not any(sums[b] > sums[a] for b in range(len(g)) for a in range(b - 18))
+        if r.i < len(glued):
+            assert len(gaps) == (2 if r.i < 2 else 3) and not re.search("[0-9]", "".join(gaps)) and len(gaps[0]) > 5, (r.text, gaps)
+        elif r.i < len(glued) + len(plain):
+            assert not r.found
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(t, 1) for t in TEXTS], "text string, found int")
     for r, old in zip(secrets.redact(df).collect(), TEXTS, strict=True):
