@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,14 +147,38 @@ def node_text(x: object) -> str:
 
 def path_json(nodes: list, edges: list | None) -> str:
     clean = [int(x) if isinstance(x, float) and x.is_integer() else x for x in nodes]
-    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"), default=str)
     return dump(clean) if edges is None else dump({"nodes": clean, "edges": edges})
 
 
+def with_texts(df: DataFrame, names: list[str]) -> DataFrame:
+    """Adds name_text, the node_text of each named column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [pa.array([node_text(x) for x in batch.column(n).to_pylist()], pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *texts], names=[*batch.schema.names, *[f"{n}_text" for n in names]])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(f"{n}_text", T.StringType()) for n in names]]))
+
+
+def with_json(found: DataFrame, named: bool) -> DataFrame:
+    """(f, t, path) of rows (f, t, nodes, taken)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("nodes").to_pylist(), batch.column("taken").to_pylist(), strict=True)
+            shown = pa.array([path_json(nodes, taken if named else None) for nodes, taken in both], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("t"), shown], names=["f", "t", "path"])
+
+    schema = T.StructType([found.schema["f"], found.schema["t"], T.StructField("path", T.StringType())])
+    return found.select("f", "t", "nodes", "taken").mapInArrow(run, schema)
+
+
 def paths(edges: DataFrame, mode: str, low: int, high: int, named: bool, start=None, end=None, limits=None) -> DataFrame:
     """(f, t, path): each path of low to high steps in the mode, as JSON. With named edges, the path tells them
     and a trail takes each edge once, whichever way. `shortest` gives one path of the fewest steps, at least low,
-    for each pair: the first by its nodes' text."""
+    for each pair: the first by its nodes' text, then by the nodes, its edges' text and the edges."""
     names = ["f", "t", *(["e"] if named else [])]
     edges = edges.select(*names).distinct()
     nodes = edges.select("f").union(edges.select("t")).distinct()
@@ -173,6 +198,7 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
         table.setdefault(row[0], []).append((row[1], row[2] if named else None))
     for steps in table.values():
         steps.sort(key=lambda s: (node_text(s[0]), node_text(s[1])))
+    order_of = lambda found: ([node_text(x) for x in found[0]], found[0], [node_text(e) for e in found[1]], found[1])
     shared = starts.sparkSession.sparkContext.broadcast(table)
 
     def shortest(start: object) -> Iterator[tuple[list, list]]:
@@ -188,7 +214,7 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
             for nodes, taken in level:
                 for n, e in shared.value.get(nodes[-1], ()):
                     found = ([*nodes, n], [*taken, e])
-                    order = [node_text(x) for x in found[0]]
+                    order = order_of(found)
                     if (depth < low or n not in seen) and (n not in best or order < best[n][0]):
                         best[n] = (order, found)
             level = [f for _, f in best.values()]
@@ -216,6 +242,7 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
         for batch in batches:
             rows: list = []
             for s in batch["f"].astype(object):
+                s = None if s is None or s is pd.NA or s != s else s
                 for nodes, taken in (shortest if mode == "shortest" else all_of)(s):
                     rows.append((s, nodes[-1], path_json(nodes, taken if named else None)))
                     if len(rows) >= 20_000:
@@ -228,13 +255,18 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
 
 def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, high: int, named: bool, limits=None) -> DataFrame:
     spark = edges.sparkSession
-    step = cut(edges.select(F.col("f").alias("ef"), F.col("t").alias("et"), *([F.col("e").cast("string").alias("ee")] if named else [])), "edges")
-    level = cut(starts.select("f", F.col("f").alias("t"), F.array("f").alias("nodes"), F.array().cast("array<string>").alias("taken")), "paths")
+    step = edges.select(F.col("f").alias("ef"), F.col("t").alias("et"), *([F.col("e").alias("ee")] if named else []))
+    kind = step.schema["ee"].dataType.simpleString() if named else "string"
+    level = starts.select("f", F.col("f").alias("t"), F.array("f").alias("nodes"), F.array().cast(f"array<{kind}>").alias("taken"))
+    if mode == "shortest":
+        step = with_texts(step, ["et", *(["ee"] if named else [])])
+        level = with_texts(level, ["f"]).withColumns({"texts": F.array("f_text"), "marks": F.array().cast("array<string>")}).drop("f_text")
+    step, level = cut(step, "edges"), cut(level, "paths")
     schema, kept, depth = level.schema, [], 0
     rounds = limits.rounds if limits else 10_000
     if low == 0:
         kept.append(write(level, "paths"))
-    order = F.transform("nodes", lambda n: n.cast("string"))
+    holds = lambda values, x: F.exists(values, lambda v: v.eqNullSafe(x))
     while not high or depth < high:
         depth += 1
         if depth > rounds:
@@ -242,17 +274,20 @@ def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, hig
         mark = F.col("ee") if named else F.to_json(F.struct(F.col("ef"), F.col("et")))
         far = level.join(step, F.col("t").eqNullSafe(F.col("ef")))
         if mode == "trail":
-            far = far.where(~F.array_contains("taken", mark))
+            far = far.where(~holds("taken", mark))
         elif mode == "acyclic":
-            far = far.where(~F.array_contains("nodes", F.col("et")))
+            far = far.where(~holds("nodes", F.col("et")))
         elif mode == "simple":
-            far = far.where(((F.size("nodes") == 1) | (F.col("t") != F.col("f"))) & ~F.array_contains(F.slice("nodes", 2, F.size("nodes")), F.col("et")))
-        level = far.select("f", F.col("et").alias("t"), F.array_append("nodes", F.col("et")).alias("nodes"), F.array_append("taken", mark).alias("taken"))
+            far = far.where(((F.size("nodes") == 1) | ~F.col("t").eqNullSafe(F.col("f"))) & ~holds(F.slice("nodes", 2, F.size("nodes")), F.col("et")))
+        longer = [F.array_append("nodes", F.col("et")).alias("nodes"), F.array_append("taken", mark).alias("taken")]
+        if mode == "shortest":
+            longer += [F.array_append("texts", F.col("et_text")).alias("texts"), F.array_append("marks", F.col("ee_text") if named else F.lit("")).alias("marks")]
+        level = far.select("f", F.col("et").alias("t"), *longer)
         if mode == "shortest":
-            level = level.groupBy("f", "t").agg(F.min_by(F.struct("nodes", "taken"), order).alias("best")).select("f", "t", "best.nodes", "best.taken")
+            level = level.groupBy("f", "t").agg(F.min(F.struct("texts", "nodes", "marks", "taken")).alias("best")).select("f", "t", "best.nodes", "best.taken", "best.texts", "best.marks")
             if depth >= low and kept:
                 seen = spark.read.schema(schema).parquet(*kept).select(F.col("f").alias("sf"), F.col("t").alias("st"))
-                level = level.join(seen, (F.col("f") == F.col("sf")) & (F.col("t") == F.col("st")), "left_anti")
+                level = level.join(seen, F.col("f").eqNullSafe(F.col("sf")) & F.col("t").eqNullSafe(F.col("st")), "left_anti")
         path = write(level, "paths")
         level = spark.read.schema(schema).parquet(path)
         if level.isEmpty():
@@ -260,9 +295,7 @@ def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, hig
         if depth >= low:
             kept.append(path)
     found = spark.read.schema(schema).parquet(*kept) if kept else level.limit(0)
-    nodes = F.to_json("nodes")
-    shown = F.concat(F.lit('{"nodes":'), nodes, F.lit(',"edges":'), F.to_json("taken"), F.lit("}")) if named else nodes
-    return found.select("f", "t", shown.alias("path"))
+    return with_json(found, named)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -123,6 +123,17 @@ def test_both_ways_of_walking_agree(engine, monkeypatch, low, high):
     assert [answers(engine, t) for t in texts] == small
 
 
+@pytest.mark.parametrize("mode", walks.MODES)
+def test_both_ways_agree_on_numbers(spark, monkeypatch, mode):
+    pairs = [(1.0, 9.0), (1.0, 10.0), (9.0, 2.5), (10.0, 2.5), (1.0, 1e7), (1e7, 3.0), (1.0, 20.0), (20.0, 3.0), (2.5, 1.0), (1.0, 9.0)]
+    edges = spark.createDataFrame([(f, t, 12 - i) for i, (f, t) in enumerate(pairs)], "f double, t double, e long")
+    found = lambda named: sorted(map(tuple, walks.paths(edges, mode, 1, 3, named).collect()))
+    small = [found(named) for named in (False, True)]
+    monkeypatch.setattr(walks, "SMALL", 0)
+    assert [found(named) for named in (False, True)] == small
+    assert (1.0, 2.5, '{"nodes":[1,10,2.5],"edges":[11,9]}') in small[1]
+
+
 @pytest.mark.parametrize("limit", [0, 5, 10**6])
 def test_rounds_in_memory_and_as_jobs_agree(engine, monkeypatch, limit):
     monkeypatch.setattr(kernel, "READ", limit)
