@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,9 +21,12 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the cluster names none, as in tests, a local folder is made and set."""
+    """spark.checkpoint.dir. Only where none is set and driver and executors are one process, as in tests, a local
+    folder is made and set; on a cluster that names none there is no folder that all of it shares."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="strataflow-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
@@ -30,12 +34,33 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def write(df: DataFrame, label: str) -> str:
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return path
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """df written and read again; it survives the loss of any executor."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, label))
+    """df, written to the shared folder and read again: its lineage ends there. Unlike a cache it survives the loss
+    of any executor. `dropped` gives the folder back once nothing reads it any more."""
+    path = write(df, label)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Hadoop's file systems, wherever it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what `cut` wrote for these tables. Only tables that no plan still to run reads."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            drop_path(df.sparkSession, path)
