@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataflow.sources.storage import cut, drop_path, dropped, fresh_path, shared_folder
+
+__all__ = ["SPACE", "SPACES", "WORD", "cut", "drop_path", "dropped", "fresh_path", "prefix_sums", "shared_folder", "table", "text_or_empty"]
+
 #: The word pattern of the contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,41 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the cluster names none, as in tests, a local one is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        own = tempfile.mkdtemp(prefix="strataflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        where = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there.
-
-    Unlike a cache it survives the loss of any executor. Column names are kept.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Hadoop's file systems, wherever it is."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same group that come before.
 

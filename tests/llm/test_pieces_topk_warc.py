@@ -80,18 +80,52 @@ def brute(vectors: dict, k: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("scale", [8, 10**9])
+@pytest.mark.parametrize("scale", [8, 9 * 10**6, 10**9, 10**20])
 def test_top_k_by_brute_force(spark, monkeypatch, scale):
-    monkeypatch.setattr(topk, "CANDIDATES", 60)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+    """Scores of all sizes: small ones, ones around 2^53, ones that round in floating point, ones beyond a long."""
+    for name, value in (("BLOCK", 60), ("LEAST_BLOCK", 20), ("QUERIES", 4), ("LEAF", 8), ("SMALL", 2), ("TURN", 5)):
+        monkeypatch.setattr(topk, name, value)
     rng = random.Random(scale)
-    vectors = {i: [rng.randint(-scale, scale) for _ in range(6)] for i in range(180)}
-    vectors |= {200 + i: vectors[0] for i in range(60)} | {300 + i: [0] * 6 for i in range(5)} | {400: [1, 2]}
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id long, v array<double>")
+    vectors = {i: [int(float(rng.randint(-scale, scale))) for _ in range(6)] for i in range(180)}
+    vectors |= {200 + i: vectors[0] for i in range(60)} | {300 + i: [0] * 6 for i in range(5)} | {400: [1, 2], 420: []}
+    df = spark.createDataFrame([(i, [float(x) for x in v], "x") for i, v in vectors.items()], "id long, v array<double>, score string")
+    df = df.union(df.where("id in (0, 7)"))
     got: dict = {}
     for r in topk.top_k(df, df.where("id % 20 = 0"), 7).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == brute(vectors, 7)
+    near = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    assert got == {q: [(i, near(s)) for i, s in found] for q, found in brute(vectors, 7).items()}
+
+
+def test_vectors_of_any_size(spark):
+    """Components of 2^53 and more are whole; scaling may make one infinite; huge and small vectors may meet."""
+    parts = {0: [1e18, 1.0], 1: [1e20, -0.5], 2: [2.0**53 / 64, 0.99], 3: [1e300, 1.0], 4: [1.7e308, 0.0], 5: [-3e-5, 2.0], 20: [-1e-3, 3.0]}
+    df = spark.createDataFrame([(i, v) for i, v in parts.items()], "vec_id long, e array<double>")
+    rows = topk.whole(df, "vec_id", "e", 64)
+    held = {r.id: [int(x) for x in r.v] for r in rows.collect()}
+    assert set(held) == {0, 1, 2, 3, 5, 20} and held[0] == [int(1e18 * 64), 64] and held[1] == [int(1e20 * 64), -32] and held[2] == [2**53, 63] and held[20] == [-1, 192]
+    got: dict = {}
+    for r in topk.top_k(rows, rows.where("id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in found] for q, found in brute(held, 20).items()}
+
+
+@pytest.mark.parametrize("spread,pruned", [(0.02, True), (10.0, False)])
+def test_nodes_are_pruned_where_vectors_cluster(spark, monkeypatch, spread, pruned):
+    """The share of all pairs that is multiplied, first pass left out: little in clusters, all of it without any."""
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(topk, "BLOCK", 200)
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((20, 32))
+    points = np.floor(64 * (centers[np.arange(2000) % 20] + spread * rng.standard_normal((2000, 32))))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "id long, v array<double>")
+    asked = df.where("id % 20 = 0")
+    found = topk.found_by(df, asked, 5)
+    made = sum(r.products for r in found.collect()) / (2000 * 100)
+    assert made < 0.2 if pruned else made > 0.9
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, asked, 5).collect()}
+    want = brute({i: [int(x) for x in v] for i, v in enumerate(points.tolist())}, 5)
+    assert got == {(q, n + 1): pair for q, pairs in want.items() for n, pair in enumerate(pairs)}
 
 
 def test_vectors_that_take_no_part(spark):
@@ -111,6 +145,10 @@ def test_cover_tree_covers():
     for k, c in enumerate(t.center):
         own = points[t.order[slice(*t.span[k])]]
         assert np.sqrt(((own - points[c]) ** 2).sum(1)).max() <= t.radius[k] + 1e-9
+    pivots = topk.net(points, 50)
+    cell, far = topk.nearest(points, pivots)
+    assert len(np.unique(pivots, axis=0)) == 50 and set(cell) == set(range(50))
+    assert np.allclose(far, np.sqrt(((points[:, None] - pivots[None]) ** 2).sum(2)).min(1))
 
 
 FAKE = "x" * 1500 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
