@@ -154,16 +154,23 @@ def test_cover_tree_covers():
 FAKE = "x" * 1500 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
 
 
-@pytest.mark.parametrize("piece", [4 << 20, 500])
-def test_archives_round_trip(spark, monkeypatch, piece):
-    monkeypatch.setattr(warc, "PIECE", piece)
-    monkeypatch.setattr(warc, "ARCHIVE", 7)
+@pytest.mark.parametrize("size", ["128m", "1500", "350"])
+def test_archives_round_trip(spark, size):
+    """One archive, read by one task or by very many; what looks like records lies on the borders of their ranges."""
     pages = {1: FAKE, 2: FAKE, 3: None, 4: "", 5: "é" * 500, 6: "é" * 500, 7: FAKE + "WARC/1.1\r\nContent-Length: 50000\r\n\r\nabc", 8: "é" * 499, 9: "é" * 499}
-    pages |= {10 + i: f"page {i} " * (i * 9) for i in range(40)}
-    df = spark.createDataFrame([(i, "http://x/a b\r\n", h, "extra") for i, h in pages.items()], "page_id long, url string, html string, record_type string").drop("record_type")
+    pages |= {10 + i: f"page {i} " * (i * 9) for i in range(12)}
+    pages |= {60: "x\r\n\r\nWARC/1.1", 61: "WARC/1.1\r\n", 62: "\r\n\r\n", 63: "WARC/1.1\r\n" * 30, 64: "a" * 3000 + "WARC/1.1\r\n" + "b" * 3000}
+    df = spark.createDataFrame([(i, "http://x/a b\r\n" if i % 9 else "http://x/WARC/1.1", h, "extra") for i, h in pages.items()], "page_id long, url string, html string, record_type string")
     path = fresh_path(spark, "warc")
-    warc.write(warc.decided(df, "page_id", "html"), path)
-    got = {int(r.record_id[10:-1]): r for r in warc.read(spark, path).collect()}
+    warc.write(warc.decided(df.coalesce(1), "page_id", "html"), path)
+    old = [spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {int(r.record_id[10:-1]): r for r in warc.read(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
     assert set(got) == set(pages)
     for i, h in pages.items():
         body = (h or "").encode()
@@ -174,9 +181,28 @@ def test_archives_round_trip(spark, monkeypatch, piece):
             assert got[i].record_type == "response" and got[i].body_digest == hashlib.sha1(body).hexdigest() and got[i].body_bytes == len(body)
 
 
+def test_what_is_decided(spark):
+    long = "y" * 1200
+    rows = [(1, long, "old"), (7, long, "old"), (7, long, "old"), (None, long, "old"), (None, None, "old"), (3, "short", "old"), (4, "short", "old")]
+    df = spark.createDataFrame(rows, "page_id long, html string, refers_to string")
+    out = warc.decided(df, "page_id", "html")
+    assert out.columns == ["page_id", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in out.collect())
+    assert got == [("1", 1200, "revisit", 7), ("3", 5, "response", None), ("4", 5, "response", None), ("7", 1200, "response", None), ("7", 1200, "response", None), ("None", 0, "response", None), ("None", 1200, "revisit", 7)]
+    path = fresh_path(spark, "warc")
+    none = df.limit(0).withColumn("url", df.html)
+    warc.write(warc.decided(none, "page_id", "html"), path)
+    assert warc.read(spark, path).count() == 0
+
+
 def test_a_bad_archive_keeps_what_comes_before(spark, tmp_path):
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    wide = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 14\r\n\r\nabWARC/1.1\r\ncd%s"
     (tmp_path / "one.warc").write_bytes(record % 1 + record % 2 + b"garbage" + record % 3)
     (tmp_path / "two.warc").write_bytes(b"")
     (tmp_path / "three.warc").write_bytes(b"junk first " + record % 4)
-    assert sorted(r.record_id for r in warc.read(spark, str(tmp_path)).collect()) == ["<urn:page:1>", "<urn:page:2>"]
+    (tmp_path / "four.warc").write_bytes(record % 5 + wide % (6, b"\r\n\r\n") + wide % (7, b"....") + record % 8)
+    (tmp_path / "five.warc").write_bytes(record % 9 + (record % 10)[:-1])
+    (tmp_path / "six.warc").write_bytes(b"\xff\xfe" + record % 11)
+    (tmp_path / "seven.warc").write_bytes(record % 12 + wide % (13, b""))
+    assert sorted(int(r.record_id[10:-1]) for r in warc.read(spark, str(tmp_path)).collect()) == [1, 2, 5, 6, 9, 12]
