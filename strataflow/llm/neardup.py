@@ -6,9 +6,13 @@ odd sketch, whose exclusive-or with another's has a population count that tells
 apart precisely. Links are confirmed on the full sets alone.
 
 Equal sets are one class from the start, so a group of exact copies of any size is one row in every
-bucket. A bucket's rows are held against its least class only, in a join; what is left to compare,
-pairs of one bucket or family that nothing joins yet, is dealt out in tiles of bounded size. A tile
-reports no more links than it has rows, as a spanning forest loses none of the links' components.
+bucket. A bucket's rows are held against its least class only, in a join; a bucket that this leaves
+apart is compared whole if it is small, and is one family if it is large. Families are what links may
+lie in. A small one is compared whole, in a tile; a tile reports no more links than it has rows, as a
+spanning forest loses none of the links' components. In a large one the pairs that the sketches found
+are confirmed, and what that leaves apart is joined on rare shingles: sets of the similarity share one
+of their rarest shingles, at places that still leave room for the rest, so text that all of a family
+has in common brings no two rows together.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import cut, table
+from strataflow.llm.common import cut, dropped, table
 from strataflow.llm.components import components
 from strataflow.llm.textnp import LOWER, U64, buffers, mix, release, slices, span_hashes, word_bounds
 
@@ -32,7 +36,7 @@ BANDS = 56
 #: Bits of an odd sketch, and the most that may differ between sets of similarity 0.8: five deviations above what is expected.
 BITS = 1024
 MOST_BITS = 118
-#: Rows of a block, and of either half of a tile of two.
+#: Rows of a bucket or a family that is compared whole, in one tile.
 BLOCK = 128
 
 
@@ -221,10 +225,10 @@ def linked_sets(t: pa.Table, percent: int) -> np.ndarray:
 
 
 def tiled(items: DataFrame, test: Callable[[pa.Table, int], np.ndarray], percent: int) -> DataFrame:
-    """Edges (a, b) for items (tile columns g, x, y; id, comp, n, payload): a forest for every tile."""
+    """Edges (a, b) for items (g, id, comp, n, payload), each g a tile: a forest for every tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 3):
+        for t in runs(batches, 1):
             comp, ids = t["comp"].to_numpy(), t["id"].to_numpy()
             found = spanning(test(t, percent), comp) if t.num_rows > 1 and comp.min() != comp.max() else []
             if found:
@@ -232,76 +236,99 @@ def tiled(items: DataFrame, test: Callable[[pa.Table, int], np.ndarray], percent
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
         release()
 
-    tiles = items.select("g", "x", "y", "id", "comp", "n", "payload").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
+    tiles = items.select("g", "id", "comp", "n", "payload").repartition("g").sortWithinPartitions("g")
     return tiles.mapInArrow(run, "a long, b long")
 
 
-def blocks(items: DataFrame) -> DataFrame:
-    """One tile a row: the rows of each g dealt into blocks by hash, each held against itself."""
-    sizes = items.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = cut(sizes.where(F.col("rows") > 1), "sizes")
-    many = F.ceil(F.col("rows") / BLOCK).cast("long")
-    placed = items.alias("i").join(sizes.alias("s"), F.col("i.g") == F.col("s.g")).select("i.*", F.pmod(F.xxhash64("i.id"), many).alias("x"))
-    return placed.withColumn("y", F.col("x"))
-
-
-def crossed(items: DataFrame) -> DataFrame:
-    """Tiles of two blocks for each g that has more components than one. A large component has blocks of its own;
-    its blocks aren't held against each other, nor a block against another with the same only component."""
-    by = items.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
-    large = F.col("c") > BLOCK
-    few = F.sum(F.when(~large, F.col("c")).otherwise(0))
-    mixed = by.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("rows"), few.alias("few")).where((F.col("comps") > 1) & (F.col("rows") > BLOCK))
-    by = cut(by.join(mixed, "g").select(F.col("g").alias("bg"), F.col("comp").alias("bc"), "c", F.ceil(F.greatest(F.lit(1), F.col("few")) / BLOCK).alias("k")), "sizes")
-    # A block's name: a large component's blocks are named after it, others have negative numbers.
-    home = F.when(large, F.struct(F.col("comp").alias("p"), F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).alias("q"))).otherwise(
-        F.struct(F.lit(-1).cast("long").alias("p"), F.pmod(F.xxhash64("comp"), F.col("k")).alias("q"))
-    )
-    placed = cut(items.join(by, (F.col("g") == F.col("bg")) & (F.col("comp") == F.col("bc"))).select(*items.columns, home.alias("home")), "blocks")
-    named = placed.select("g", "home").distinct().groupBy("g").agg(F.collect_list("home").alias("homes"))
-    named = cut(named, "homes").withColumnRenamed("g", "h")
-    others = F.filter("homes", lambda h: (h["p"] != F.col("home.p")) | (h["p"] == -1))
-    dealt = placed.join(named, F.col("g") == F.col("h")).select("g", "id", "comp", "n", "payload", "home", F.explode(others).alias("other"))
-    return dealt.select("g", F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"), "id", "comp", "n", "payload")
-
-
-def joined(known: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All edges so far and their components."""
-    edges = edges if known is None else known.union(edges)
-    edges = cut(edges, "links")
-    return edges, components(edges)
-
-
 def label(items: DataFrame, comps: DataFrame) -> DataFrame:
     """items with comp: the root of their id, or the id itself."""
     return items.join(comps, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
 
 
-def families(sig: DataFrame, percent: int) -> DataFrame:
-    """(node, root): classes that may belong together, as far as buckets and odd sketches tell."""
-    rows = cut(sig.select("id", "n", "sketch", F.explode("keys").alias("key")).select("id", "key"), "bands")
+def families(sig: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root): classes that may belong together, as far as buckets and odd sketches tell; and the pairs (a, b)
+    that the sketches found close."""
+    rows = cut(sig.select("id", F.explode("keys").alias("key")), "bands")
     heads = rows.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("rows"))
-    heads = cut(heads.where(F.col("rows") > 1).select(F.col("key").alias("bucket"), "head"), "buckets")
-    shared = cut(rows.join(heads, F.col("key") == F.col("bucket")).select("key", "head", "id"), "shared")
+    heads = cut(heads.where(F.col("rows") > 1).select(F.col("key").alias("bucket"), "head", "rows"), "buckets")
+    shared = cut(rows.join(heads, F.col("key") == F.col("bucket")).select("key", "head", "rows", "id"), "shared")
+    dropped(rows, heads)
     pairs = cut(shared.where("id != head").select("head", "id").distinct(), "pairs")
     own = sig.select(F.col("id").alias("of"), "n", "sketch")
     one = cut(pairs.join(own, F.col("id") == F.col("of")).select("head", "id", "n", "sketch"), "pairs")
     both = one.alias("p").join(own.alias("o"), F.col("p.head") == F.col("o.of"))
     close = (differ(F.col("p.sketch"), F.col("o.sketch")) <= MOST_BITS) & may_link(F.col("p.n"), F.col("o.n"), percent)
-    edges, comps = joined(None, both.where(close).select(F.col("p.head").alias("a"), F.col("p.id").alias("b")))
-    # Buckets whose rows aren't all together yet: every pair apart is looked at, in tiles.
-    spread = label(shared, comps)
-    open_ = spread.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo != hi AND rows > 2")
-    open_ = cut(open_.select(F.col("key").alias("bucket")), "open")
-    items = spread.join(open_, F.col("key") == F.col("bucket")).join(own, F.col("id") == F.col("of"))
-    items = cut(items.select(F.col("key").alias("g"), "id", "comp", "n", F.col("sketch").alias("payload")), "items")
-    edges, comps = joined(edges, tiled(blocks(items), close_sketches, percent))
-    items = label(items.drop("comp"), comps)
-    return joined(edges, tiled(crossed(items), close_sketches, percent))[1]
+    links = cut(both.where(close).select(F.col("p.head").alias("a"), F.col("p.id").alias("b")), "links")
+    dropped(pairs, one)
+    spread = label(shared, components(links))
+    open_ = spread.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select(F.col("key").alias("bucket"))
+    left = cut(spread.where("rows > 2").join(cut(open_, "open"), F.col("key") == F.col("bucket")).select("key", "head", "rows", "id", "comp"), "left")
+    # Small buckets are looked at pair by pair; the rows of a large one may all belong together.
+    items = left.where(F.col("rows") <= BLOCK).join(own, F.col("id") == F.col("of")).select(F.col("key").alias("g"), "id", "comp", "n", F.col("sketch").alias("payload"))
+    more = cut(links.union(tiled(items, close_sketches, percent)).distinct(), "links")
+    wide = left.where(F.col("rows") > BLOCK).where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    found = components(more.union(wide))
+    dropped(links, shared, left)
+    return found, more
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are linked."""
+    own = sets.select(F.col("id").alias("of"), "payload")
+    one = pairs.join(own, F.col("b") == F.col("of")).select("a", "b", F.col("payload").alias("mine"))
+    both = one.join(own, F.col("a") == F.col("of")).select("a", "b", "mine", "payload", F.size(F.array_intersect("mine", "payload")).alias("common"))
+    return both.where(100 * F.col("common") >= percent * (F.size("mine") + F.size("payload") - F.col("common"))).select("a", "b")
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(g, x, id, n, place): the shingles of each set, rarest of its family first, by one of which it meets all it is linked with.
+
+    Sets of n shingles that are linked have percent of n in common, so they meet in the first n - percent of n + 1 of them.
+    Shingles of one set only come first; they are counted, and meet nothing.
+    """
+    one = sets.withColumn("set", F.xxhash64("payload")).dropDuplicates(["id", "set"])  # a key may have several, or one repeatedly
+    tokens = one.select("g", "id", "set", "n", F.explode("payload").alias("x"))
+    often = tokens.groupBy("g", "x").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    met = tokens.join(often, ["g", "x"])
+    of = Window.partitionBy("id", "set")
+    place = F.row_number().over(of.orderBy("sets", "x")) - 1 + F.col("n") - F.count(F.lit(1)).over(of)
+    return met.withColumn("place", place).where(F.col("place") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100")).select("g", "x", "id", "n", "place")
+
+
+def room(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes that meet first at these places may be linked."""
+    return may_link(n, m, percent) & ((100 + percent) * F.least(n - place, m - other) >= percent * (n + m))
+
+
+def rare_links(sets: DataFrame, percent: int, edges: DataFrame) -> DataFrame:
+    """Edges, with what links the components that they leave in these families: sets (g, id, n, payload).
+
+    Twice over pairs of sets that share a rare shingle and belong to different components: first each set with one of
+    another component, which joins most of what is linked, then every pair that is still apart.
+    """
+    prefix = cut(rare_shingles(sets, percent), "rare")
+    for every in (False, True):
+        now = label(prefix, components(edges))
+        if every:
+            p, q = now.alias("p"), now.alias("q")
+            fits = room(F.col("p.n"), F.col("p.place"), F.col("q.n"), F.col("q.place"), percent)
+            pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.comp") < F.col("q.comp")) & fits)
+            pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+        else:
+            one = F.struct("comp", "id", "n", "place")
+            ends = now.groupBy("g", "x").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.comp != hi.comp")
+            met = now.join(ends, ["g", "x"]).withColumn("other", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")))
+            fits = room(F.col("n"), F.col("place"), F.col("other.n"), F.col("other.place"), percent)
+            pairs = met.where(fits).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
+        pairs = cut(pairs.distinct(), "pairs")
+        edges = cut(edges.union(confirmed(pairs, sets, percent)), "links")
+        dropped(pairs)
+    dropped(prefix)
+    return edges
 
 
 def sets_of(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(id, n, payload): full sets of the wanted (node, root) rows, with g, the family."""
+    """(g, id, n, members, payload): full sets of the wanted (node, root, members), with g, the family; one row a node."""
     picked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,48 +337,77 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) ->
             for i, j in slices(offsets, 1 << 20):
                 x, cuts = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(cuts)), lists], names=["g", "id", "n", "payload"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(cuts)), batch.column(3)[i:j], lists], names=["g", "id", "n", "members", "payload"])
             release()
 
-    return picked.select(F.col("root").alias("g"), "id", "text").mapInArrow(run, "g long, id long, n long, payload array<long>")
+    return picked.select(F.col("root").alias("g"), "id", "text", "members").mapInArrow(run, "g long, id long, n long, members long, payload array<long>")
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component) of every row: links at 100 * intersection >= percent * union.
 
-    The key is a long and identifies a row; component is the least key reachable. Rows with a null key
-    take no part, and rows of one key share a component. Null and wordless texts have an empty set and
-    are linked with nothing. Repeated texts are one class. Percent is 80 at least, as the bands are laid
-    out for that. An empty table gives an empty one.
+    The key is a long; component is the least key reachable. Rows of one key may differ in text: each has the component
+    of its own text, and texts of which it is the least key are in one component. A row with a null key
+    is linked with nothing, and its component is null. Null and wordless texts have an empty set and are linked with
+    nothing. Repeated texts are one class. Percent is 80 at least, as the bands are laid out for that. An empty table
+    gives an empty one. Other columns play no part, whatever their names. A text and its shingles fit in memory.
     """
     if percent < 80:
         raise ValueError("the bands find similarities of 0.8 and above")
-    docs = docs.where(F.col(key).isNotNull())
-    sig = cut(signatures(docs, key, text, k), "signatures")
-    classes = cut(sig.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
-    chosen = sig.join(classes.select("rep"), F.col("id") == F.col("rep")).drop("rep")
-    family = families(cut(chosen.select("id", "n", "keys", "sketch"), "chosen"), percent)
-    items = cut(sets_of(docs, key, text, k, family), "sets").withColumn("comp", F.col("id"))
-    edges, comps = joined(None, tiled(blocks(items), linked_sets, percent))
-    items = label(items.drop("comp"), comps)
-    comps = joined(edges, tiled(crossed(items), linked_sets, percent))[1]
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    sig = cut(signatures(docs, "id", "text", k), "signatures")
+    keyed = sig.where("n > 0 AND id IS NOT NULL")
+    classes = cut(keyed.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
+    # One row stands for a class.
+    chosen = keyed.join(classes.withColumnsRenamed({"d1": "e1", "d2": "e2", "n": "m"}), (F.col("id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+    chosen = cut(chosen.dropDuplicates(["id", "d1", "d2"]).select("id", "n", "keys", "sketch"), "chosen")
+    family, close = families(chosen, percent)
+    sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    family = cut(family.join(cut(sizes.withColumnRenamed("root", "r"), "sizes"), F.col("root") == F.col("r")).select("node", "root", "members"), "family")
+    sets = cut(sets_of(docs.where("id IS NOT NULL"), "id", "text", k, family), "sets")
+    small, large = sets.where(F.col("members") <= BLOCK), sets.where(F.col("members") > BLOCK)
+    edges = tiled(small.withColumn("comp", F.col("id")), linked_sets, percent)
+    if not large.isEmpty():
+        own = large.select(F.col("id").alias("member"))
+        edges = cut(edges.union(confirmed(close.join(own, F.col("a") == F.col("member"), "left_semi"), large, percent)), "links")
+        apart = label(large.select("g", "id"), components(edges)).groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+        apart = cut(apart.select(F.col("g").alias("h")), "apart")
+        if not apart.isEmpty():
+            edges = rare_links(cut(large.join(apart, F.col("g") == F.col("h")).select("g", "id", "n", "payload"), "apart"), percent, edges)
+    comps = components(cut(edges, "links"))
     roots = cut(label(classes.withColumn("id", F.col("rep")), comps).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "comp"), "roots")
+    dropped(chosen, family, sets, close, classes)
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m"))
     # Empty sets all have digest 0; a pairing of their own keeps them from meeting in one task.
-    empty = sig.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
-    full = sig.where("n > 0").select("id", "n", "d1", "d2").join(roots, same).select("id", F.col("n").alias("n_shingles"), F.col("comp").alias("component"))
-    return full.union(empty)
+    alone = sig.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
+    full = keyed.select("id", "n", "d1", "d2").join(roots, same).select("id", F.col("n").alias("n_shingles"), F.col("comp").alias("component"))
+    return full.union(alone)
 
 
 def deduplicate(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the least of their component, as they are. Rows with a null key stay."""
-    gone = near_duplicates(docs, key, text, k, percent).where("id != component").select(F.col("id").alias("__id"))
-    return docs.join(gone, F.col(key) == F.col("__id"), "left_anti")
+    """The rows of docs that are the least of their component, as they are.
+
+    Rows with a null key stay. Rows that are alike in key and text stay or go together. Where some key has several
+    texts, rows are told apart by a hash of both, and the least of a component is that of the least hash: no text is
+    lost. Columns may have any names.
+    """
+    names = docs.columns
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    own, body = F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}")
+    mark = F.xxhash64(body)
+    several = flat.where(own.isNotNull()).groupBy(own.alias("k")).agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo != hi")
+    row = own.cast("long") if several.isEmpty() else F.when(own.isNotNull(), F.xxhash64(own, body))
+    flat = flat.withColumn("row", row)
+    gone = near_duplicates(flat.where(F.col("row").isNotNull()).select("row", body.alias("body")), "row", "body", k, percent).where("id != component").select("id").distinct()
+    return flat.join(gone, F.col("row") == F.col("id"), "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: classes of near-duplicates on two-word shingles, linked at 0.8, confirmed on full sets."""
+    """All documents: classes of near-duplicates on two-word shingles, linked at 0.8, confirmed on full sets.
+
+    A document without an id is one of its own: its component_id is null, and it is kept.
+    """
     found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=2)
     return found.select(
-        F.col("id").alias("doc_id"), F.col("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+        F.col("id").alias("doc_id"), F.col("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )

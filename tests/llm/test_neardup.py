@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataflow.llm import components, neardup
 
@@ -70,15 +71,41 @@ def test_a_large_family_with_many_variants(spark, monkeypatch):
     assert kept.columns == ["doc_id", "text"] and {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_text_that_a_family_shares_makes_no_pairs(spark, monkeypatch):
+    """A family of 400 classes with most words in common, none of them linked but for a few late pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    counted = []
+    confirmed = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *more: (counted.append(pairs.count()), confirmed(pairs, *more))[1])
+    shared = [f"s{i}" for i in range(160)]
+    texts = {i: " ".join([*shared, *(f"own{i}x{j}" for j in range(60))]) for i in range(400)}
+    texts |= {1000 + i: texts[i * 7] + f" tail{i}" for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.component for r in neardup.near_duplicates(df, "doc_id", "text", 2).collect()}
+    assert got == {**{i: i for i in range(400)}, **{1000 + i: i * 7 for i in range(20)}}
+    assert len(counted) == 3 and sum(counted[1:]) < 200, "of 88,000 pairs of the family"
+
+
 def test_null_keys_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c", 1), (None, "a b c", 2), (3, "a b c", 3), (3, "a b c", 4), (4, "A B  C", 5)], "doc_id long, text string, root long")
     got = sorted(r.root for r in neardup.deduplicate(df, "doc_id", "text").collect())
-    assert got == [1, 2, 3, 4], "rows without a key stay, rows of one key stay together"
+    assert got == [1, 2, 3, 4], "rows without a key stay, rows of one key and text stay together"
     assert neardup.deduplicate(df.limit(0), "doc_id", "text").count() == 0
+    found = sorted(map(tuple, neardup.near_duplicates(df, "doc_id", "text").collect()), key=str)
+    assert found == [(3, 1, 3), (3, 1, 3), (4, 1, 3), (None, 1, None), (None, 1, None)]
     with pytest.raises(ValueError):
         neardup.near_duplicates(df, "doc_id", "text", percent=70)
 
 
+def test_no_text_is_lost_where_keys_repeat(spark):
+    df = spark.createDataFrame([(5, "x y"), (7, "x y"), (7, "only here"), (7, "only here"), (8, "Only HERE")], "id long, component string").withColumn("n", F.lit(1))
+    kept = neardup.deduplicate(df, "id", "component").collect()
+    assert kept[0].asDict().keys() == {"id", "component", "n"}
+    assert sorted({r.component.lower() for r in kept}) == ["only here", "x y"] and len(kept) in (2, 3)
+    of = {(r.id, r.n_shingles, r.component) for r in neardup.near_duplicates(df, "id", "component", 2).collect()}
+    assert of == {(5, 1, 5), (7, 1, 5), (7, 1, 7), (8, 1, 7)}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
     consts = neardup.constants()
