@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import cut
+from strataflow.llm.common import cut, dropped
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,11 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        moved = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", "near").alias("root"))
+        moved = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         moved = cut(moved, "labels")
         up = moved.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        jumped = cut(moved.join(up, F.col("root") == F.col("up")).select("node", F.col("top").alias("root")), "labels")
-        changed = jumped.alias("n").join(labels.alias("o"), "node").where("n.root != o.root").limit(1).count()
+        jumped = cut(moved.join(up, F.col("root") == F.col("up")).select("node", F.col("top").alias("root"), (F.col("top") != F.col("old")).alias("fresh")), "labels")
+        dropped(labels, moved)
         labels = jumped
-        if not changed:
-            return labels
+        if jumped.where("fresh").isEmpty():
+            dropped(both)
+            return labels.drop("fresh")

@@ -284,15 +284,27 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """(g, x, id, n, place): the shingles of each set, rarest of its family first, by one of which it meets all it is linked with.
 
     Sets of n shingles that are linked have percent of n in common, so they meet in the first n - percent of n + 1 of them.
-    Shingles of one set only come first; they are counted, and meet nothing.
+    Shingles of one set only come first; they are counted, and meet nothing. Those that more than half of a family's sets
+    hold, of which there are twice as many as an average set has at most, come last in one order; they are told apart
+    inside the rows, and become rows only where a set has too few others.
     """
     one = sets.withColumn("set", F.xxhash64("payload")).dropDuplicates(["id", "set"])  # a key may have several, or one repeatedly
-    tokens = one.select("g", "id", "set", "n", F.explode("payload").alias("x"))
-    often = tokens.groupBy("g", "x").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    met = tokens.join(often, ["g", "x"])
+    members = one.groupBy("g").agg(F.count(F.lit(1)).alias("half")).select(F.col("g").alias("h"), (F.col("half") / 2).alias("half"))
+    counts = one.select("g", F.explode("payload").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    counts = cut(counts.join(members, F.col("g") == F.col("h")).drop("h"), "counts")
+    most = counts.where("sets > half").groupBy(F.col("g").alias("h")).agg(F.collect_list("x").alias("most"))
+    none = F.array().cast("array<long>")
+    split = one.join(most, F.col("g") == F.col("h"), "left").withColumn("most", F.coalesce("most", none))
+    split = split.select("g", "id", "set", "n", F.array_except("payload", "most").alias("rest"), F.array_intersect("payload", "most").alias("last"))
+    split = cut(split, "split")
+    need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    met = split.select("g", "id", "set", "n", F.size("rest").alias("few"), F.explode("rest").alias("x")).join(counts.where("sets <= half").drop("half"), ["g", "x"])
     of = Window.partitionBy("id", "set")
-    place = F.row_number().over(of.orderBy("sets", "x")) - 1 + F.col("n") - F.count(F.lit(1)).over(of)
-    return met.withColumn("place", place).where(F.col("place") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100")).select("g", "x", "id", "n", "place")
+    place = F.row_number().over(of.orderBy("sets", "x")) - 1 + F.col("few") - F.count(F.lit(1)).over(of)
+    rare = met.withColumn("place", place.cast("long")).where(F.col("place") < need).select("g", "x", "id", "n", "place")
+    more = F.slice("last", F.lit(1), F.greatest(F.lit(0), need - F.size("rest")).cast("int"))
+    late = split.select("g", "id", "n", F.size("rest").alias("few"), F.posexplode(more).alias("at", "x"))
+    return rare.union(late.select("g", "x", "id", "n", (F.col("few") + F.col("at")).cast("long").alias("place")))
 
 
 def room(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
