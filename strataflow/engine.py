@@ -7,18 +7,22 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataflow import values as V
 from strataflow.errors import BudgetExceeded, CheckError, suggestion
 from strataflow.operators import aggregates, versions
 from strataflow.plans import rewrite
-from strataflow.plans.compiler import CITES, Compiler, Frame, Limits, cited, constant_val, distinct, gathered
+from strataflow.limits import Limits, cancel, cancellable
+from strataflow.plans.compiler import CITES, Compiler, Frame, cited, constant_val, distinct, gathered
 from strataflow.plans.text import parse, show
-from strataflow.plans.tree import Agg, Atom, Call, Column, Compare, Const, Either, Maybe, Not, Op, Query, Reduce, Rule, Var, body_vars, expr_vars
+from strataflow.plans.tree import Agg, Atom, Call, Column, Compare, Const, Either, Maybe, Not, Op, Query, Reduce, Rule, Var, Wild, body_vars, expr_vars
 from strataflow.sources.catalog import Catalog
-from strataflow.sources.storage import cut, importable
+from strataflow.sources.storage import cut, dropped, importable
 
 VERSION = "~v"
+#: Materialized relations that an engine keeps for the next time.
+CACHE = 32
 
 
 class Engine:
@@ -29,17 +33,18 @@ class Engine:
         importable(spark)
         self.spark = spark
         self.catalog = catalog or Catalog(spark)
+        self.derived: dict[tuple, tuple] = {}  # by what it was derived from, the last used last
         self.kept: dict[str, tuple[str, tuple[Rule, ...]]] = {}  # materialized members of modules, with the modules' rules
 
     # asking
 
-    def query(self, program: str | Query, params: dict | None = None, names: Iterable[str] | None = None, ordered: bool = True, at: int | None = None, across: Iterable[int] | None = None, cites: bool = False, after: tuple | None = None, limits: Limits | None = None, reasons: bool = False) -> DataFrame:
+    def query(self, program: str | Query, params: dict | None = None, names: Iterable[str] | None = None, ordered: bool = False, at: int | None = None, across: Iterable[int] | None = None, cites: bool = False, after: tuple | None = None, limits: Limits | None = None, reasons: bool = False) -> DataFrame:
         """The answer to a program.
 
         params binds variables of the goal: to a value, or to a list of them, which the goal is joined with.
         names are the answer's columns, in place of the labels as written. at asks one version; across asks
-        several at once and adds a column `versions`. cites adds the sources' citations. ordered=False leaves
-        out the final sort of an answer that isn't cut. reasons adds a column `why`: for each aggregate that is absent, by
+        several at once and adds a column `versions`. cites adds the sources' citations. ordered sorts an
+        answer that isn't cut in the default order; without it, as without an order by, Spark gives rows as they come. reasons adds a column `why`: for each aggregate that is absent, by
         its column's name, what for: `no rows`, `no numbers` or `mixed units: ...`.
         """
         if at is not None and across is not None:
@@ -50,7 +55,7 @@ class Engine:
         vs = sorted(set(across)) if across is not None else None
         if vs is not None:
             q = self.across(q, vs)
-        c = Compiler(self.catalog, q.rules, cites, at, vs, limits)
+        c = Compiler(self.catalog, q.rules, cites, at, vs, (limits or Limits()).started())
         return self.answer(c, q, list(names) if names is not None else None, ordered, vs is not None, params, reasons)
 
     def prepared(self, q: Query, params: dict | None = None) -> Query:
@@ -158,6 +163,8 @@ class Engine:
         for i, col in enumerate(select):
             if isinstance(col.item, (Op, Call)):
                 goal.append(Compare("=", Var(f"~s{i}"), col.item))
+        if not params and not across and not c.cites and c.at is None and (answered := self.by_store(q, select, names, reasons)) is not None:
+            return answered
         f = c.body(tuple(goal))
         for k, v in (params or {}).items():
             if isinstance(v, (list, tuple, set)):
@@ -189,7 +196,7 @@ class Engine:
             if c.cites:
                 keys = [V.key(V.Val(F.col(f"a{i}"), k)).alias(f"k{i}") for i, k in enumerate(kinds)]
                 df = df.groupBy(*keys).agg(*[F.max(f"a{i}").alias(f"a{i}") for i in range(len(kinds))], gathered().alias(CITES))
-            else:
+            elif not self.tells_apart(c, tuple(goal), items):
                 df = distinct(df, df.columns, kinds)
         shown = list(range(len(items)))
         labels = [col.label for col in select]
@@ -212,6 +219,60 @@ class Engine:
             out.append(why.alias("why"))
         return df.select(*out, *(["versions"] if across else []), *([F.col(CITES)["c"].alias("cites")] if c.cites else []))
 
+    def by_store(self, q: Query, select: list[Column], names: list[str] | None, reasons: bool) -> DataFrame | None:
+        """The answer to a goal of one atom that its store groups, or pages, itself; nothing for others."""
+        if len(q.goal) != 1 or not isinstance(x := q.goal[0], Atom) or q.rules or x.fact or reasons:
+            return None
+        r = self.catalog.relations.get(x.rel)
+        if r is None or r.store is None or len(x.args) != len(r.labels) or any(not isinstance(a, (Var, Const, Wild)) or getattr(a, "unit", "") for a in x.args):
+            return None
+        variables = [a.name for a in x.args if isinstance(a, Var)]
+        column = {a.name: label for a, label in zip(x.args, r.labels, strict=True) if isinstance(a, Var)}
+        bound = {label: [a.value] for a, label in zip(x.args, r.labels, strict=True) if isinstance(a, Const)}
+        items = [c.item for c in select]
+        if len(set(variables)) < len(variables) or q.after or any(not isinstance(i, (Var, Agg)) for i in items):
+            return None
+        types = {f.name: f.dataType for f in r.store.schema}
+        labels = names or [c.label for c in select]
+        if r.store.summarize and any(isinstance(i, Agg) for i in items) and not q.having and not q.order and q.limit is None and all(not isinstance(i, Agg) or (i.func in ("count", "sum", "min", "max") and not i.distinct) for i in items):
+            groups, made = [column[i.name] for i in items if isinstance(i, Var)], [(i.func, column[i.var]) for i in items if isinstance(i, Agg)]
+            fields = [T.StructField(f"k{k}", types[g]) for k, g in enumerate(groups)] + [T.StructField(f"m{k}", T.LongType() if f == "count" else types[g]) for k, (f, g) in enumerate(made)]
+            summarize = r.store.summarize
+            out = r.store.told(self.spark, T.StructType(fields), lambda: summarize(bound, groups, made))
+            keys, values = iter(f"k{k}" for k in range(len(groups))), iter(f"m{k}" for k in range(len(made)))
+            return out.select(*[F.col(next(values) if isinstance(i, Agg) else next(keys)).alias(n) for i, n in zip(items, labels, strict=True)])
+        shown = [i.name for i in items if isinstance(i, Var)]
+        if r.store.page and q.limit is not None and q.order and len(shown) == len(items) and set(shown) == set(variables):
+            order = [(column[i.name], down) for i, down in q.order] + [(column[n], False) for n in shown]
+            page, n = r.store.page, q.limit + q.offset
+            rows = r.store.told(self.spark, r.store.schema, lambda: page(bound, order, n))
+            held = Catalog(self.spark)
+            held.predicates = self.catalog.predicates
+            held.add(x.rel, rows, required=r.required)
+            return Engine(self.spark, held).query(q, names=names)
+        return None
+
+    def tells_apart(self, c: Compiler, goal: tuple, items: list) -> bool:
+        """Whether the answer's columns tell all bindings apart, by declared keys: then they hold no row twice."""
+        shown = {i.name for i in items if isinstance(i, Var)}
+        tells = lambda args: all(isinstance(a, Const) or (isinstance(a, Var) and a.name in shown) for a in args)
+        for x in goal:
+            if isinstance(x, Maybe):
+                return False
+            if not isinstance(x, Atom):
+                continue
+            if p := self.catalog.predicates.get(x.rel):
+                if p.frame or any(m.many for m in p.modes):
+                    return False
+            elif x.rel in c.rules:
+                if not tells(x.args):
+                    return False
+            else:
+                r = self.catalog.relations.get(x.rel)
+                if r is None or not r.key or c.versions is not None or not tells([a for a, label in zip(x.args, r.labels, strict=True) if label in r.key]):
+                    return False
+        return any(isinstance(x, Atom) for x in goal)
+
     def paged(self, df: DataFrame, q: Query, select: list[Column], kinds: list, shown: list[int], ordered: bool) -> DataFrame:
         vals = [V.Val(F.col(f"a{i}"), kinds[i]) for i in shown]
         asked = [(vals[[c.item for c in select].index(item)], down) for item, down in q.order]
@@ -250,7 +311,7 @@ class Engine:
 
     def total(self, program: str, **more) -> int:
         """The number of rows before after, offset and limit."""
-        return self.query(replace(parse(program), limit=None, offset=0, after=(), order=()), ordered=False, **more).count()
+        return self.query(replace(parse(program), limit=None, offset=0, after=(), order=()), **more).count()
 
     def validate(self, program: str, params: dict | None = None) -> None:
         """Raises what asking would raise for the program itself, without running it over data."""
@@ -271,15 +332,24 @@ class Engine:
         for r in q.rules:
             rules.setdefault(r.rel, []).append(r)
         parts = [f"{', '.join(g)}{' (fixpoint)' if rewrite.recursive(g, rules) else ''}" for g in rewrite.components(rules)]
-        plan = self.query(program, **more)._sc._jvm.PythonSQLUtils.explainString(self.query(program, **more)._jdf.queryExecution(), "formatted")
+        df = self.query(program, **more)
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         return f"{show(q)}\n\ncomponents: {'; '.join(parts) or 'none'}\n\n{plan}"
 
     def kinds(self, program: str, **more) -> list[tuple[str, str]]:
         """The answer's columns with the Spark types that hold them."""
-        return [(f.name, f.dataType.simpleString()) for f in self.query(program, ordered=False, **more).schema]
+        return [(f.name, f.dataType.simpleString()) for f in self.query(program, **more).schema]
+
+    def cites_at(self, program: str, row: tuple, version: int, **more) -> list[str]:
+        """What one answer row cites at one version; nothing if it doesn't hold then."""
+        df = self.query(program, at=version, cites=True, **more)
+        for name, value in zip(df.columns[:-1], row, strict=True):
+            df = df.where(F.col(f"`{name}`").eqNullSafe(F.lit(value)))
+        found = df.select("cites").limit(1).collect()
+        return list(found[0][0]) if found else []
 
-    def why(self, program: str, row: tuple, most: int = 20_000) -> list:
-        """The derivations of one answer row, as trees down to base facts.
+    def why(self, program: str, row: tuple, most: int = 20_000, at: int | None = None) -> list:
+        """The derivations of one answer row, as trees down to base facts, at a version if one is named; facts that have an id tell it.
 
         Told by the plain evaluator over the base relations that the program reads, which must hold
         `most` rows at most together: trees are for looking at, not for large data.
@@ -290,15 +360,17 @@ class Engine:
         todo, seen = [q.goal, *[r.body for r in q.rules]], set()
         for body in todo:
             seen |= {n for n, _ in rewrite.reads(body) if n in self.catalog.relations}
-        facts, left = {}, most
+        facts, left, ids = {}, most, {}
         for n in sorted(seen):
             r = self.catalog.relations[n]
-            rows = r.df.select(*r.labels).limit(left + 1).collect()
+            df = versions.at(r.df, at) if at is not None and "__versions" in r.df.columns else r.df
+            rows = df.select(*r.labels, *(["__id"] if "__id" in df.columns else [])).limit(left + 1).collect()
             left -= len(rows)
             if left < 0:
                 raise BudgetExceeded(f"more than {most} base facts")
-            facts[n] = [tuple(x) for x in rows]
-        return Naive(facts, q.rules).why(q, row)
+            facts[n] = [tuple(x)[: len(r.labels)] for x in rows]
+            ids |= {(n, tuple(x)[: len(r.labels)]): x["__id"] for x in rows if "__id" in df.columns and x["__id"] is not None}
+        return Naive(facts, q.rules, ids).why(q, row)
 
     def why_empty(self, program: str) -> str:
         """Of a goal without rows, the first literal at which none were left, as written."""
@@ -327,17 +399,28 @@ class Engine:
         return out
 
     def materialize(self, name: str, rules: str = "") -> Engine:
-        """Derives a relation once, writes it to the shared folder and registers it as a base relation."""
+        """Derives a relation once, writes it to the shared folder and registers it as a base relation.
+
+        What was derived by the same rules from the same versions of the same relations is used again, the last CACHE of them;
+        a relation without a version token counts as the same while it is the same registration.
+        """
         from strataflow.plans.text import parse_rules
 
         q = self.linked(Query(rules=parse_rules(rules) if rules else (), goal=(Atom(name, ()),)))
-        rel = Compiler(self.catalog, q.rules).relation(name)
-        df = cut(rel.df.select(*[f"a{i}" for i in range(len(rel.kinds))]), "derived")
+        read = {n for r in q.rules for n, _ in rewrite.reads(r.body)}
+        tokens = [(n, repr(r.version()) if r.version else id(r)) for n, r in sorted(self.catalog.relations.items()) if n in read]
+        key = (name, tuple(sorted(map(show, q.rules))), tuple(tokens))
+        if key not in self.derived:
+            rel = Compiler(self.catalog, q.rules).relation(name)
+            self.derived[key] = cut(rel.df.select(*[f"a{i}" for i in range(len(rel.kinds))]), "derived"), [f"a{i}" for i, k in enumerate(rel.kinds) if not k.nullable], [self.catalog.relations[n] for n in read if n in self.catalog.relations]
+            if len(self.derived) > CACHE:
+                dropped(self.derived.pop(next(iter(self.derived)))[0])
+        df, required, _ = self.derived[key] = self.derived.pop(key)
         for module, own in list(self.catalog.modules.items()):
             self.catalog.modules[module] = tuple(r for r in own if r.rel != name)
             if len(self.catalog.modules[module]) < len(own):
                 self.kept[name] = (module, own)
-        self.catalog.add(name, df, required=[f"a{i}" for i, k in enumerate(rel.kinds) if not k.nullable])
+        self.catalog.add(name, df, required=required)
         return self
 
     def forget(self, name: str) -> Engine:
@@ -348,6 +431,13 @@ class Engine:
             self.catalog.modules[module] = own
         return self
 
+    def cancellable(self, tag: str):
+        """A context whose jobs `cancel(tag)` stops, from another thread: those of planning and of reading the answer inside it."""
+        return cancellable(self.spark, tag)
+
+    def cancel(self, tag: str) -> None:
+        cancel(self.spark, tag)
+
     def diff(self, name: str, old: int, new: int) -> DataFrame:
         return versions.difference(self.catalog.relations[name].df, old, new)
 

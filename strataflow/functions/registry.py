@@ -39,11 +39,13 @@ class Predicate:
     modes: tuple[Mode, ...] = ()
     doc: str = ""
     constants: tuple[int, ...] = field(default=())  # arguments that must be constants
+    frame: object = None  # a host's generator over whole frames: see functions.host
+    least: int | None = None  # arguments that must be given; the rest may be left out
 
 
 def plain(v: Val) -> Column:
-    """Text for a test: an absent value reads as empty."""
-    return F.coalesce(text(v), F.lit(""))
+    """Text for a test: an absent value reads as empty. A column without nulls stays as it is, so that the test reaches the scan."""
+    return v.col if v.kind.name == "text" and not v.kind.nullable else F.coalesce(text(v), F.lit(""))
 
 
 def literal(v: Val, what: str) -> str:
@@ -87,6 +89,20 @@ def regex(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<")
 
 
+def by_character(s: Column, change: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), change), "")
+
+
+def upper(s: Column) -> Column:
+    """Each character to its own upper case: one that has none of a single character stays, so lengths do too."""
+    return F.when(F.length(F.upper(s)) == F.length(s), F.upper(s)).otherwise(by_character(s, lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)))
+
+
+def lower(s: Column) -> Column:
+    """Each character to its own lower case, wherever it stands."""
+    return F.when(s.rlike("[\u03a3\u0130]"), by_character(s, lambda c: F.substring(F.lower(c), 1, 1))).otherwise(F.lower(s))
+
+
 def one(col: Column, kind: Kind = TEXT) -> list[Val]:
     return [Val(col, kind)]
 
@@ -269,9 +285,9 @@ def standard() -> dict[str, Predicate]:
         fn("str.distance", 3, Mode((0, 1), (2,), lambda v: one(F.levenshtein(text(v[0]), text(v[1])).cast("long"), Kind("num", "", True, True)))),
         Predicate("str.concat", 3, modes=concat_modes()),
         fn("str.replace", 4, Mode((0, 1, 2), (3,), replaced)),
-        text_fn("str.lower", F.lower),
-        text_fn("str.upper", F.upper),
-        text_fn("str.capitalize", lambda s: F.concat(F.upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.greatest(F.length(s), F.lit(1))))),
+        text_fn("str.lower", lower),
+        text_fn("str.upper", upper),
+        text_fn("str.capitalize", lambda s: F.concat(upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.greatest(F.length(s), F.lit(1))))),
         fn("str.split", 4, Mode((0, 1, 2), (3,), one_piece), Mode((0, 1), (2, 3), lambda v: numbered(pieces(v), TEXT), True)),
         Predicate("str.find", 4, modes=(Mode((0, 1), (2, 3), lambda v: numbered(F.filter(F.regexp_extract_all(text(v[0]), F.lit(regex(literal(v[1], "a pattern"))), F.lit(0)), lambda x: x != ""), TEXT), True),), constants=(1,)),
         fn("num.value", 2, Mode((0,), (1,), lambda v: one(numeric(v[0]), Kind("num", "", True, v[0].kind.whole)))),

@@ -25,6 +25,46 @@ def one_unit(v: Val, out: Column) -> Val:
     return Val(F.when((F.size(units) <= 1) & out.isNotNull(), made), V.ANY)
 
 
+def exact_sum(x: Column) -> Column:
+    """The true sum rounded once, in whatever order and by however many tasks it is added: three whole numbers a value, its
+    units, the next 40 bits and the next 60, are summed as decimals. What a value has beyond 2^-100 is left out; if some
+    value isn't finite, or reaches 2^62, the sum is Spark's."""
+    d = x.cast("double")
+    fine = F.abs(d) < float(1 << 62)
+    y = F.when(fine, d)
+    a = y.cast("long")
+    f = (y - a.cast("double")) * float(1 << 40)
+    b = f.cast("long")
+    c = ((f - b.cast("double")) * float(1 << 60)).cast("long")
+    whole = lambda v: F.sum(v.cast("decimal(19,0)"))
+    bits = lambda n: F.lit(1 << n).cast("decimal(20,0)")
+    over = lambda v, n: F.call_function("div", v, bits(n))
+    zero = F.lit(0).cast("decimal(20,0)")
+    units, mid, low = whole(a), whole(b), whole(c)
+    mid, low = mid + over(low, 60), low % bits(60)
+    units, mid = units + over(mid, 40), mid % bits(40)
+    # Borrowing makes the two lower parts positive, or all three of one sign where the sum is below zero.
+    mid, low = mid - F.when(low < 0, 1).otherwise(0), F.when(low < 0, low + bits(60)).otherwise(low)
+    units, mid = units - F.when(mid < 0, 1).otherwise(0), F.when(mid < 0, mid + bits(40)).otherwise(mid)
+    below = (units < 0) & ((mid > 0) | (low > 0))
+    wide = lambda v: v.cast("decimal(38,0)")
+    # What is below the last place that a double takes decides ties only, as one more bit.
+    tied = lambda v, more: (F.try_multiply(wide(v), F.lit(2)) + F.when(more, 1).otherwise(0)).cast("double")
+
+    def value(u: Column, m: Column, n: Column) -> Column:
+        upper = F.try_add(F.try_multiply(wide(u), bits(40)), wide(m))
+        every = F.try_add(F.try_multiply(wide(upper), bits(60)), wide(n))
+        large = F.when(u >= bits(53), tied(u, (m > 0) | (n > 0)) / 2.0).when(upper >= bits(54), tied(upper, n > 0) / float(1 << 41))
+        return large.otherwise(every.cast("double") / float(1 << 100))
+
+    under = value(-units - 1, bits(40) - mid - F.when(low > 0, 1).otherwise(0), F.when(low > 0, bits(60) - low).otherwise(zero))
+    return F.when(F.max(~fine), F.sum(d)).otherwise(F.when(below, -under).otherwise(value(units, mid, low)))
+
+
+def total(v: Val, x: Column) -> Column:
+    return F.sum(x) if v.kind.whole or v.kind.decimal else exact_sum(x)
+
+
 def reduced(func: str, distinct: bool, v: Val) -> Val:
     if func == "count":
         return Val(F.count_distinct(distinct_key(v)) if distinct else F.count(F.lit(1)), WHOLE)
@@ -39,10 +79,10 @@ def reduced(func: str, distinct: bool, v: Val) -> Val:
     else:
         x = V.numeric(v)
     if func == "sum":
-        col = F.coalesce(F.sum_distinct(x) if distinct else F.sum(x), F.lit(0))
+        col = F.coalesce(F.sum_distinct(x) if distinct else total(v, x), F.lit(0))
         kind = Kind("num", v.kind.unit if v.kind.name == "num" else "", False, v.kind.whole)
     elif func == "avg":
-        col = F.avg(x) if not distinct else F.sum_distinct(x) / F.count_distinct(x)
+        col = F.avg(x) if v.kind.decimal else total(v, x) / F.count(x) if not distinct else F.sum_distinct(x) / F.count_distinct(x)
         kind = Kind("num", v.kind.unit if v.kind.name == "num" else "")
     else:
         least = F.min(x) if func == "min" else F.max(x)

@@ -1,9 +1,12 @@
 """Walks of a relation of edges (f, t) or (f, e, t): reachability with fewest steps, and paths.
 
-Either walk runs in one of two ways with the same answers. A relation of few edges, counted first, is
-sent to every task as an adjacency table, and each task walks from its own starts: one job however
-deep the graph is. A larger one is walked by joins, a round a step; each round's rows are written to the
-shared folder, so that plans stay small and a lost executor costs a round.
+Either walk runs in one of two ways with the same answers and under the same limits. A relation of few
+edges, counted first, is sent to every task as an adjacency table, and each task walks from its own
+starts: one job however deep the graph is. A larger one is walked by joins, a round a step; each round's
+rows are written to the shared folder, so that plans stay small and a lost executor costs a round.
+
+Edges may carry citations, in a column c: a walk then tells those of its edges together, sorted. Of several
+shortest walks between two nodes it keeps, step by step, the one whose citations are least.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataflow.errors import BudgetExceeded
+from strataflow.limits import Limits
 from strataflow.sources.storage import cut, write
 
 MODES = ("walk", "trail", "acyclic", "simple", "shortest")
@@ -26,20 +30,22 @@ MODES = ("walk", "trail", "acyclic", "simple", "shortest")
 SMALL = 200_000
 
 
-def closure(edges: DataFrame, low: int, high: int, start=None, end=None, limits=None) -> DataFrame:
-    """(f, t, hops): t is reached from f in low to high steps, high 0 for any number; hops is the fewest.
+def closure(edges: DataFrame, low: int, high: int, start=None, end=None, limits: Limits | None = None) -> DataFrame:
+    """(f, t, hops), and c if the edges have it: t is reached from f in low to high steps, high 0 for any number; hops is the fewest.
 
     start and end are a value, a DataFrame of values s, or nothing. One given end is walked from; a second
     one filters. Nodes repeat below low, as in a walk. With low 0 each node of the relation reaches itself in none.
     """
     if start is None and end is not None:
-        back = closure(edges.select(F.col("t").alias("f"), F.col("f").alias("t")), low, high, end, None, limits)
-        return back.select(F.col("t").alias("f"), F.col("f").alias("t"), "hops")
-    edges = edges.select("f", "t").distinct()
+        rest = [c for c in edges.columns if c not in ("f", "t")]
+        back = closure(edges.select(F.col("t").alias("f"), F.col("f").alias("t"), *rest), low, high, end, None, limits)
+        return back.select(F.col("t").alias("f"), F.col("f").alias("t"), "hops", *rest)
+    limits = limits or Limits()
+    edges = least_cited(edges, ["f", "t"])
     nodes = edges.select("f").union(edges.select("t")).distinct()
     starts = seeds(nodes, start)
-    if (known := small(edges)) is not None:
-        out = by_tables(known, starts, low, high, edges.schema)
+    if "c" not in edges.columns and (known := small(edges, limits)) is not None:
+        out = ran(by_tables(known, starts, low, high, edges.schema, limits.rounds), len(known) + low, limits)
     else:
         out = by_joins(edges, starts, low, high, limits)
     if end is not None:
@@ -57,13 +63,38 @@ def seeds(nodes: DataFrame, start) -> DataFrame:
     return nodes.join(start.select(F.col("s").alias("~s")), F.col("f").eqNullSafe(F.col("~s")), "left_semi")
 
 
-def small(edges: DataFrame) -> list | None:
-    """The edges, if they are few: no more than SMALL are ever taken."""
-    rows = edges.limit(SMALL + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= SMALL else None
+def least_cited(edges: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct edges, each with its least citations if it has any."""
+    if "c" not in edges.columns:
+        return edges.select(*names).distinct()
+    return edges.groupBy(*names).agg(F.min(F.array_sort(F.array_distinct("c"))).alias("c"))
+
+
+def small(edges: DataFrame, limits: Limits) -> list | None:
+    """The edges, if they are few: no more than SMALL, or what the limits say, are ever taken."""
+    most = SMALL if limits.edges is None else limits.edges
+    if not most:
+        return None
+    rows = edges.limit(most + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= most else None
+
+
+def ran(out: DataFrame, rounds: int, limits: Limits) -> DataFrame:
+    """out, run at once where it might go beyond the limits. `rounds` is the most that a walk without repetitions can take."""
+    if limits.rounds > rounds + 1 and not limits.counts:
+        return out
+    try:
+        out = cut(out, "walk")
+    except Exception as e:
+        if "BudgetExceeded" in str(e):
+            raise BudgetExceeded(f"a walk: more than {limits.rounds} rounds") from None
+        raise
+    if limits.counts:
+        limits.total(out.count(), "a walk")
+    return out
 
 
-def by_tables(known: list, starts: DataFrame, low: int, high: int, schema: T.StructType) -> DataFrame:
+def by_tables(known: list, starts: DataFrame, low: int, high: int, schema: T.StructType, rounds: int) -> DataFrame:
     table: dict = {}
     for f, t in known:
         table.setdefault(f, []).append(t)
@@ -79,6 +110,8 @@ def by_tables(known: list, starts: DataFrame, low: int, high: int, schema: T.Str
             yield start, 0
         while level and (not high or depth < high):
             depth += 1
+            if depth > rounds:
+                raise BudgetExceeded("rounds")
             level = {t for n in level for t in after.get(n, ())}
             if depth >= low:
                 level -= seen
@@ -105,21 +138,23 @@ def by_tables(known: list, starts: DataFrame, low: int, high: int, schema: T.Str
     return starts.mapInPandas(run, f"f {kind.simpleString()}, t {kind.simpleString()}, hops long")
 
 
-def by_joins(edges: DataFrame, starts: DataFrame, low: int, high: int, limits=None) -> DataFrame:
-    spark = edges.sparkSession
-    step = cut(edges.select(F.col("f").alias("ef"), F.col("t").alias("et")), "edges")
-    level = starts.select("f", F.col("f").alias("t"))
+def by_joins(edges: DataFrame, starts: DataFrame, low: int, high: int, limits: Limits) -> DataFrame:
+    spark, cited = edges.sparkSession, "c" in edges.columns
+    step = cut(edges.select(F.col("f").alias("ef"), F.col("t").alias("et"), *([F.col("c").alias("ec")] if cited else [])), "edges")
+    none = F.array().cast("array<string>").alias("c")
+    level = starts.select("f", F.col("f").alias("t"), *([none] if cited else []))
+    own = ["f", "t", *(["c"] if cited else [])]
     paths: list[str] = []
     if low == 0:
         paths.append(write(level.withColumn("hops", F.lit(0).cast("long")), "walk"))
-    depth, seen = 0, None
+    depth, rows = 0, 0
     schema = None
-    rounds = limits.rounds if limits else 10_000
     while not high or depth < high:
         depth += 1
-        if depth > rounds:
-            raise BudgetExceeded(f"a walk of more than {rounds} steps")
-        level = level.join(step, F.col("t").eqNullSafe(F.col("ef"))).select("f", F.col("et").alias("t")).distinct()
+        limits.round(depth, "a walk")
+        union = [F.array_sort(F.array_union("c", "ec")).alias("c")] if cited else []
+        level = level.join(step, F.col("t").eqNullSafe(F.col("ef"))).select("f", F.col("et").alias("t"), *union)
+        level = level.groupBy("f", "t").agg(F.min("c").alias("c")) if cited else level.distinct()
         if depth >= low:
             if paths:
                 seen = spark.read.schema(schema or spark.read.parquet(paths[0]).schema).parquet(*paths).select(F.col("f").alias("sf"), F.col("t").alias("st"))
@@ -130,14 +165,17 @@ def by_joins(edges: DataFrame, starts: DataFrame, low: int, high: int, limits=No
             if found.isEmpty():
                 break
             paths.append(path)
-            level = found.select("f", "t")
+            if limits.counts:
+                rows += found.count()
+                limits.total(rows, "a walk")
+            level = found.select(*own)
         else:
             level = cut(level, "walk")
             if level.isEmpty():
                 break
     if not paths:
-        return starts.select("f", F.col("f").alias("t"), F.lit(0).cast("long").alias("hops")).limit(0)
-    return spark.read.schema(schema or spark.read.parquet(paths[0]).schema).parquet(*paths)
+        return starts.select("f", F.col("f").alias("t"), F.lit(0).cast("long").alias("hops"), *([none] if cited else [])).limit(0)
+    return spark.read.schema(schema or spark.read.parquet(paths[0]).schema).parquet(*paths).select("f", "t", "hops", *own[2:])
 
 
 def node_text(x: object) -> str:
@@ -163,28 +201,30 @@ def with_texts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def with_json(found: DataFrame, named: bool) -> DataFrame:
-    """(f, t, path) of rows (f, t, nodes, taken)."""
+    """(f, t, path) of rows (f, t, nodes, taken), and c if they have it."""
+    rest = ["c"] if "c" in found.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("nodes").to_pylist(), batch.column("taken").to_pylist(), strict=True)
             shown = pa.array([path_json(nodes, taken if named else None) for nodes, taken in both], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("t"), shown], names=["f", "t", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("t"), shown, *[batch.column(c) for c in rest]], names=["f", "t", "path", *rest])
 
-    schema = T.StructType([found.schema["f"], found.schema["t"], T.StructField("path", T.StringType())])
-    return found.select("f", "t", "nodes", "taken").mapInArrow(run, schema)
+    schema = T.StructType([found.schema["f"], found.schema["t"], T.StructField("path", T.StringType()), *[found.schema[c] for c in rest]])
+    return found.select("f", "t", "nodes", "taken", *rest).mapInArrow(run, schema)
 
 
-def paths(edges: DataFrame, mode: str, low: int, high: int, named: bool, start=None, end=None, limits=None) -> DataFrame:
+def paths(edges: DataFrame, mode: str, low: int, high: int, named: bool, start=None, end=None, limits: Limits | None = None) -> DataFrame:
     """(f, t, path): each path of low to high steps in the mode, as JSON. With named edges, the path tells them
     and a trail takes each edge once, whichever way. `shortest` gives one path of the fewest steps, at least low,
     for each pair: the first by its nodes' text, then by the nodes, its edges' text and the edges."""
     names = ["f", "t", *(["e"] if named else [])]
-    edges = edges.select(*names).distinct()
+    limits = limits or Limits()
+    edges = least_cited(edges, names)
     nodes = edges.select("f").union(edges.select("t")).distinct()
     starts = seeds(nodes, start)
-    if (known := small(edges)) is not None:
-        out = paths_by_tables(known, starts, mode, low, high, named, edges.schema["f"].dataType)
+    if "c" not in edges.columns and (known := small(edges, limits)) is not None:
+        out = ran(paths_by_tables(known, starts, mode, low, high, named, edges.schema["f"].dataType, limits.rounds), max(len(known), high) + low, limits)
     else:
         out = paths_by_joins(edges, starts, mode, low, high, named, limits)
     if end is not None:
@@ -192,7 +232,7 @@ def paths(edges: DataFrame, mode: str, low: int, high: int, named: bool, start=N
     return out
 
 
-def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: int, named: bool, kind: T.DataType) -> DataFrame:
+def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: int, named: bool, kind: T.DataType, rounds: int) -> DataFrame:
     table: dict = {}
     for row in known:
         table.setdefault(row[0], []).append((row[1], row[2] if named else None))
@@ -210,6 +250,8 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
             yield level[0]
         while level and (not high or depth < high):
             depth += 1
+            if depth > rounds:
+                raise BudgetExceeded("rounds")
             best: dict = {}
             for nodes, taken in level:
                 for n, e in shared.value.get(nodes[-1], ()):
@@ -228,6 +270,8 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
             nodes, taken = stack.pop()
             if len(taken) >= low:
                 yield nodes, taken
+            if len(taken) >= rounds and not (high and len(taken) >= high):
+                raise BudgetExceeded("rounds")
             if (high and len(taken) >= high) or (mode == "simple" and len(nodes) > 1 and nodes[-1] == nodes[0]):
                 continue
             used = set(taken) if named else set(zip(nodes, nodes[1:], strict=False))
@@ -253,24 +297,23 @@ def paths_by_tables(known: list, starts: DataFrame, mode: str, low: int, high: i
     return starts.mapInPandas(run, f"f {kind.simpleString()}, t {kind.simpleString()}, path string")
 
 
-def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, high: int, named: bool, limits=None) -> DataFrame:
-    spark = edges.sparkSession
-    step = edges.select(F.col("f").alias("ef"), F.col("t").alias("et"), *([F.col("e").alias("ee")] if named else []))
+def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, high: int, named: bool, limits: Limits) -> DataFrame:
+    spark, cited = edges.sparkSession, "c" in edges.columns
+    step = edges.select(F.col("f").alias("ef"), F.col("t").alias("et"), *([F.col("e").alias("ee")] if named else []), *([F.col("c").alias("ec")] if cited else []))
     kind = step.schema["ee"].dataType.simpleString() if named else "string"
-    level = starts.select("f", F.col("f").alias("t"), F.array("f").alias("nodes"), F.array().cast(f"array<{kind}>").alias("taken"))
+    level = starts.select("f", F.col("f").alias("t"), F.array("f").alias("nodes"), F.array().cast(f"array<{kind}>").alias("taken"), *([F.array().cast("array<string>").alias("c")] if cited else []))
     if mode == "shortest":
         step = with_texts(step, ["et", *(["ee"] if named else [])])
         level = with_texts(level, ["f"]).withColumns({"texts": F.array("f_text"), "marks": F.array().cast("array<string>")}).drop("f_text")
     step, level = cut(step, "edges"), cut(level, "paths")
-    schema, kept, depth = level.schema, [], 0
-    rounds = limits.rounds if limits else 10_000
+    schema, kept, depth, rows = level.schema, [], 0, 0
+    carried = ["c"] if cited else []
     if low == 0:
         kept.append(write(level, "paths"))
     holds = lambda values, x: F.exists(values, lambda v: v.eqNullSafe(x))
     while not high or depth < high:
         depth += 1
-        if depth > rounds:
-            raise BudgetExceeded(f"paths of more than {rounds} steps")
+        limits.round(depth, "a walk")
         mark = F.col("ee") if named else F.to_json(F.struct(F.col("ef"), F.col("et")))
         far = level.join(step, F.col("t").eqNullSafe(F.col("ef")))
         if mode == "trail":
@@ -280,11 +323,13 @@ def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, hig
         elif mode == "simple":
             far = far.where(((F.size("nodes") == 1) | ~F.col("t").eqNullSafe(F.col("f"))) & ~holds(F.slice("nodes", 2, F.size("nodes")), F.col("et")))
         longer = [F.array_append("nodes", F.col("et")).alias("nodes"), F.array_append("taken", mark).alias("taken")]
+        if cited:
+            longer.append(F.array_sort(F.array_union("c", "ec")).alias("c"))
         if mode == "shortest":
             longer += [F.array_append("texts", F.col("et_text")).alias("texts"), F.array_append("marks", F.col("ee_text") if named else F.lit("")).alias("marks")]
         level = far.select("f", F.col("et").alias("t"), *longer)
         if mode == "shortest":
-            level = level.groupBy("f", "t").agg(F.min(F.struct("texts", "nodes", "marks", "taken")).alias("best")).select("f", "t", "best.nodes", "best.taken", "best.texts", "best.marks")
+            level = level.groupBy("f", "t").agg(F.min(F.struct("texts", "nodes", "marks", "taken", *carried)).alias("best")).select("f", "t", "best.nodes", "best.taken", *[f"best.{c}" for c in carried], "best.texts", "best.marks")
             if depth >= low and kept:
                 seen = spark.read.schema(schema).parquet(*kept).select(F.col("f").alias("sf"), F.col("t").alias("st"))
                 level = level.join(seen, F.col("f").eqNullSafe(F.col("sf")) & F.col("t").eqNullSafe(F.col("st")), "left_anti")
@@ -294,6 +339,9 @@ def paths_by_joins(edges: DataFrame, starts: DataFrame, mode: str, low: int, hig
             break
         if depth >= low:
             kept.append(path)
+            if limits.counts:
+                rows += level.count()
+                limits.total(rows, "a walk")
     found = spark.read.schema(schema).parquet(*kept) if kept else level.limit(0)
     return with_json(found, named)
 

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow import values as V
-from strataflow.errors import BudgetExceeded, CheckError, suggestion
+from strataflow.errors import CheckError, suggestion
 from strataflow.functions import registry
+from strataflow.limits import Limits
 from strataflow.operators import aggregates, kernel, walks
 from strataflow.plans import rewrite
 from strataflow.plans.text import show
@@ -53,12 +54,6 @@ class Frame:
         return Val(F.col(f"`v_{name}`"), self.kinds[name])
 
 
-@dataclass
-class Limits:
-    rounds: int = 10_000
-    rows: int = 1 << 40
-
-
 class Compiler:
     def __init__(self, catalog: Catalog, rules: tuple[Rule, ...], cites: bool = False, at: int | None = None, versions: list[int] | None = None, limits: Limits | None = None) -> None:
         self.catalog, self.cites, self.at, self.versions = catalog, cites, at, versions
@@ -222,8 +217,8 @@ class Compiler:
         live = {n for n in component if first[n]}
         rounds = rows = 0
         while live:
-            if (rounds := rounds + 1) > self.limits.rounds:
-                raise BudgetExceeded(f"{component}: more than {self.limits.rounds} rounds")
+            rounds += 1
+            self.limits.round(rounds, f"{component}")
             found: dict[str, list[Rel]] = {n: [] for n in component}
             for n in component:
                 for r in loops[n]:
@@ -246,8 +241,7 @@ class Compiler:
                     live.add(n)
                     rows += count
                     paths[n].append(path)
-            if rows > self.limits.rows:
-                raise BudgetExceeded(f"{component}: more than {self.limits.rows} tuples")
+            self.limits.total(rows, f"{component}")
             for n in component:
                 total[n] = spark.read.schema(schema[n]).parquet(*paths[n])
                 if n not in live:
@@ -264,7 +258,9 @@ class Compiler:
         outside = {x.rel for r in rules for x in r.body if isinstance(x, Atom) and x.rel not in component}
         if any(n in self.catalog.predicates or not simple(self.relation(n).kinds) for n in outside):
             return False
-        left, found = kernel.READ, {}
+        left, found = kernel.READ if self.limits.tuples is None else self.limits.tuples, {}
+        if not left:
+            return False
         parts = [(n, self.plain(self.cast(first[n], kinds[n]).df, kinds[n])) for n in component if first[n]] + [(n, self.relation(n).df.select(*[f"a{i}" for i in range(len(self.relation(n).kinds))])) for n in sorted(outside)]
         for n, df in parts:
             found[n] = [tuple(t) for t in df.limit(left + 1).collect()]  # never more than READ tuples in all
@@ -272,7 +268,7 @@ class Compiler:
             if left < 0 or any(v != v for t in found[n] for v in t):  # NaN has an equality of its own
                 return False
         start = {n: found.get(n, []) for n in component}
-        done = kernel.fixpoint(component, loops, start, {n: found[n] for n in outside}, self.limits.rounds)
+        done = kernel.fixpoint(component, loops, start, {n: found[n] for n in outside}, self.limits.rounds, most=self.limits.rows)
         if done is None:
             return False
         for n in component:
@@ -328,7 +324,7 @@ class Compiler:
         if fixed:
             put = lambda t: fixed.get(t.name, t) if isinstance(t, Var) else t
             pending = [(map_terms(x, put) if not isinstance(x, Reduce) or x.var not in fixed else x, s) for x, s in pending]
-        pending = [(y, s) for x, s in pending for y, s in self.without_calls(x, s)]
+        pending = [(self.filled(y), s) for x, s in pending for y, s in self.without_calls(x, s)]
         f = seed
         while pending:
             i = self.choose(f, pending)
@@ -340,6 +336,15 @@ class Compiler:
             f = Frame(f.df.withColumn(f"v_{name}", v.col), {**f.kinds, name: v.kind})
         return f
 
+    def filled(self, x: object) -> object:
+        """A predicate's atom with the trailing arguments that it may leave out."""
+        a = x.atom if isinstance(x, Not) else x
+        p = self.catalog.predicates.get(a.rel) if isinstance(a, Atom) else None
+        if p is None or p.least is None or not p.least <= len(a.args) < p.arity:
+            return x
+        a = replace(a, args=(*a.args, *[Wild()] * (p.arity - len(a.args))))
+        return Not(a) if isinstance(x, Not) else a
+
     def without_calls(self, x: object, s: Rel | None) -> list:
         """Calls of relations other than predicates, taken out of comparisons as atoms."""
         extra: list = []
@@ -369,7 +374,8 @@ class Compiler:
             elif isinstance(x, Atom) and self.computed(x):
                 c = self.predicate_cost(x, bound)
             elif isinstance(x, Atom):
-                c = 3 if f is None else 2 if names & bound else 5 if bound else 4
+                r = self.catalog.relations.get(x.rel)
+                c = 3.5 if f is None and r and r.store and r.store.keys else 3 if f is None else 2 if names & bound else 5 if bound else 4
             elif isinstance(x, Not):
                 c = 9 if not more_atoms and not self.pending_binders(pending, i) else None
             elif isinstance(x, Either):
@@ -412,6 +418,8 @@ class Compiler:
             raise CheckError("arity", f"{x.rel} has {p.arity} arguments, not {len(x.args)}")
         if p.test:
             return 0 if len(places) == p.arity else None
+        if p.frame:
+            return 1 if set(p.frame.needs) | set(p.frame.constants) <= places else None
         return 1 if any(set(m.needs) <= places for m in p.modes) else None
 
     def step(self, f: Frame | None, x: object, given: Rel | None, rest: list) -> Frame:
@@ -422,7 +430,10 @@ class Compiler:
                 return self.walk(f, x)
             if x.rel in self.catalog.predicates:
                 return self.call(f or self.unit(), x)
-            return self.join(f, self.scan(x, given))
+            if f is not None and given is None:
+                given = self.looked_up(f, x)
+            g = self.scan(x, given)
+            return self.join(f, g, "left_semi" if f is not None and given is None and self.only_tests(f, x, g) else "inner")
         if isinstance(x, Not):
             return self.negate(f or self.unit(), x.atom)
         if isinstance(x, Reduce):
@@ -431,6 +442,28 @@ class Compiler:
             return self.maybe(f, x)
         return self.either(f or self.unit(), x)
 
+    def looked_up(self, f: Frame, x: Atom) -> Rel | None:
+        """A store's rows for the keys that the bindings so far hold, if it finds rows by a column that they bind."""
+        r = self.catalog.relations.get(x.rel)
+        if r is None or r.store is None or x.rel in self.rules or len(x.args) != len(r.labels) or self.cites or self.versions is not None or self.at is not None:
+            return None
+        kinds = dict(zip(r.labels, r.kinds, strict=True))
+        by = {label: a.name for label, a in zip(r.labels, x.args, strict=True) if label in r.store.keys and isinstance(a, Var) and a.name in f.kinds and f.kinds[a.name].name == kinds[label].name}
+        if not by:
+            return None
+        fields = {n: t.dataType for n, t in zip(r.store.schema.names, r.store.schema, strict=True)}
+        rows = r.store.fetch(f.df.select(*[F.col(f"`v_{v}`").cast(fields[c]).alias(c) for c, v in by.items()]))
+        return Rel(rows.select(*[F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(r.labels)], F.lit(None).cast("string").alias("__id")), r.kinds)
+
+    def only_tests(self, f: Frame, x: Atom, g: Frame) -> bool:
+        """Whether an atom binds nothing and matches a binding once at most: a semi join says the same."""
+        if self.cites or self.versions is not None or not g.kinds or not set(g.kinds) <= set(f.kinds) or x.fact:
+            return False
+        if x.rel in self.rules:
+            return not any(isinstance(a, Wild) for a in x.args)  # a set
+        r = self.catalog.relations.get(x.rel)
+        return bool(r and r.key) and not any(isinstance(a, Wild) for a, label in zip(x.args, r.labels, strict=True) if label in r.key)
+
     def scan(self, x: Atom, given: Rel | None = None) -> Frame:
         """An atom's bindings: its relation with constants and repeated variables as filters, and only bound columns kept."""
         rel = given
@@ -488,7 +521,7 @@ class Compiler:
         for n, k in g.kinds.items():
             if n not in shared:
                 kinds[n] = k.may if how == "left" else k
-            elif how == "inner" and not k.nullable and kinds[n].name == k.name:
+            elif how != "left" and not k.nullable and kinds[n].name == k.name:
                 kinds[n] = replace(kinds[n], nullable=False)
         df = df.drop(*[f"r_{n}" for n in shared], "~r")
         if self.cites:
@@ -547,9 +580,13 @@ class Compiler:
         return self.join(f, Frame(df, {n: inner.kinds[n] for n in names}), "left")
 
     def negate(self, f: Frame, a: Atom) -> Frame:
-        if a.rel in self.catalog.predicates:
+        p = self.catalog.predicates.get(a.rel)
+        if p and not p.frame:
             return Frame(f.df.where(~self.holds(f, a)), f.kinds)
-        g = self.walk(self.domain(f, [n for n in literal_vars(a) if n in f.kinds]), a) if a.rel.startswith("graph.") else self.scan(a)
+        if p or a.rel.startswith("graph."):
+            g = (self.call if p else self.walk)(self.domain(f, [n for n in literal_vars(a) if n in f.kinds]), a)
+        else:
+            g = self.scan(a)
         shared = [n for n in g.kinds if n in f.kinds]
         if not shared and g.kinds:
             raise CheckError("unbound", f"not {a.rel}(...) shares no variable with the rest")
@@ -661,8 +698,11 @@ class Compiler:
 
     def call(self, f: Frame, x: Atom) -> Frame:
         p = self.catalog.predicates[x.rel]
-        if p.test:
-            return Frame(f.df.where(self.holds(f, x)), f.kinds)
+        if p.test and len(x.args) == p.arity:
+            return Frame(f.df.where(p.test([self.value(f, t) for t in x.args])), f.kinds)
+        if p.frame:
+            df, got = self.generated(f, x, p.frame)
+            return self.bound_by(f, x, df, got, p.frame.gives, True)
         bound = {i for i, a in enumerate(x.args) if not isinstance(a, (Wild, Var)) or (isinstance(a, Var) and a.name in f.kinds)}
         mode = next((m for m in p.modes if set(m.needs) <= bound), None)
         if mode is None:
@@ -679,13 +719,29 @@ class Compiler:
             got = [Val(F.col(f"`~x{j}`"), v.kind) for j, v in enumerate(got)]
             if x.rel not in MAY_BE_ABSENT:
                 df = df.where(got[0].col.isNotNull())
+        return self.bound_by(f, x, df, got, mode.gives, mode.many)
+
+    def generated(self, f: Frame, x: Atom, g) -> tuple[DataFrame, list[Val]]:
+        """The bindings with what a host's generator makes of their distinct inputs, in columns ~x0, ~x1, ..."""
+        for i in g.constants:
+            if not isinstance(x.args[i], Const):
+                raise CheckError("type", f"{x.rel}: argument {i + 1} must be a constant")
+        df = f.df.withColumns({f"~n{k}": self.value(f, x.args[i]).col for k, i in enumerate(g.needs)})
+        found = g.over(df.select(*[F.col(f"`~n{k}`").alias(f"n{k}") for k in range(len(g.needs))]).distinct(), [x.args[i].value for i in g.constants])
+        right = found.select(*[F.col(f"n{k}").alias(f"~m{k}") for k in range(len(g.needs))], *[F.col(f"g{k}").alias(f"~x{k}") for k in range(len(g.gives))])
+        on = [F.col(f"`~n{k}`").eqNullSafe(F.col(f"`~m{k}`")) for k in range(len(g.needs))]
+        df = (df.join(right, V.all_of(on)) if on else df.crossJoin(right)).drop(*[f"~{c}{k}" for k in range(len(g.needs)) for c in "nm"])
+        return df, [Val(F.col(f"`~x{k}`"), kind) for k, kind in enumerate(g.kinds)]
+
+    def bound_by(self, f: Frame, x: Atom, df: DataFrame, got: list[Val], gives: tuple[int, ...], many: bool) -> Frame:
+        """df with a call's results bound, or held against what is bound already."""
         kinds, conditions, out = dict(f.kinds), [], {}
-        for v, i in zip(got, mode.gives, strict=True):
+        for v, i in zip(got, gives, strict=True):
             a = x.args[i]
             if isinstance(a, Wild):
                 continue
             if isinstance(a, Var) and a.name not in kinds:
-                kinds[a.name] = v.kind if mode.many or x.rel in MAY_BE_ABSENT else replace(v.kind, nullable=v.kind.name == "any")
+                kinds[a.name] = v.kind if many or x.rel in MAY_BE_ABSENT else replace(v.kind, nullable=v.kind.name == "any")
                 out[f"v_{a.name}"] = v.col
             elif isinstance(a, Var) and f"v_{a.name}" in out:
                 conditions.append(V.same(v, Val(out[f"v_{a.name}"], kinds[a.name])))
@@ -715,11 +771,10 @@ class Compiler:
         named = size == 7 and len(rel.kinds) == 3
         if len(rel.kinds) != 2 and not named:
             raise CheckError("walk", f"{x.rel} walks a relation of two arguments" + (" or three" if size == 7 else ""))
-        edges = rel.df.select(F.col("a0").alias("f"), F.col("a2" if named else "a1").alias("t"), *([F.col("a1").alias("e")] if named else []))
+        edges = rel.df.select(F.col("a0").alias("f"), F.col("a2" if named else "a1").alias("t"), *([F.col("a1").alias("e")] if named else []), *([F.col(CITES)["c"].alias("c")] if self.cites else []))
         kind = V.common([rel.kinds[0], rel.kinds[2 if named else 1]])
         if kind.name == "any":
             raise CheckError("walk", f"{x.args[0].value} mixes kinds of nodes")
-        edges = edges.withColumns({"f": F.col("f"), "t": F.col("t")})
         seeds: dict[str, object] = {}
         for name, a in (("start", x.args[1]), ("end", x.args[2])):
             if isinstance(a, Const):
@@ -728,7 +783,16 @@ class Compiler:
                 seeds[name] = f.df.select(F.col(f"`v_{a.name}`").alias("s")).distinct()
         if "start" in seeds and "end" in seeds and isinstance(seeds["end"], DataFrame):
             del seeds["end"]  # the join keeps the ends that are asked for
-        if size == 6:
+        r = self.catalog.relations.get(x.args[0].value)
+        if size == 6 and "start" in seeds and r is not None and r.store is not None and r.store.walk and not self.cites:
+            start = seeds["start"]
+            asked = start if isinstance(start, DataFrame) else self.catalog.spark.range(1).select(start.alias("s"))
+            out = r.store.walked(asked, low.value, high.value, edges.schema["f"].dataType)
+            if "end" in seeds and not isinstance(seeds["end"], DataFrame):
+                out = out.where(F.col("t").eqNullSafe(seeds["end"]))
+            cols, kinds = ["f", "t", "hops"], [kind, kind, Kind("num", "", False, True)]
+            args = [x.args[1], x.args[2], x.args[5]]
+        elif size == 6:
             out = walks.closure(edges, low.value, high.value, limits=self.limits, **seeds)
             cols, kinds = ["f", "t", "hops"], [kind, kind, Kind("num", "", False, True)]
             args = [x.args[1], x.args[2], x.args[5]]
@@ -741,9 +805,7 @@ class Compiler:
             out = walks.paths(edges, mode.value, low.value, high.value, named, limits=self.limits, **seeds)
             cols, kinds = ["f", "t", "path"], [kind, kind, Kind("text", "", False)]
             args = [x.args[1], x.args[2], x.args[6]]
-        out = out.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)])
-        if self.cites:
-            out = out.withColumn(CITES, cited())
+        out = out.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)], *([cited(F.col("c")).alias(CITES)] if self.cites else []))
         return self.join(f, self.scan(Atom("~walk", tuple(args)), Rel(out, [k if k.name == "text" and i == 2 else k for i, k in enumerate(kinds)])))
 
 

@@ -28,7 +28,7 @@ HIDDEN = ("__cites", "__id", "__versions")
 @dataclass
 class Relation:
     """df's visible columns are the arguments, in order. `required` columns hold no null, which spares joins
-    null-safe keys; `units`, `domains` and `entities` (what a column's values name) are by column; `__cites`, `__id` and `__versions` are hidden columns. `reload` opens a source anew
+    null-safe keys; those of `key` tell facts apart, which spares answers that show them a distinct; `units`, `domains` and `entities` (what a column's values name) are by column; `__cites`, `__id` and `__versions` are hidden columns. `reload` opens a source anew
     for every atom, for those that keep what was pushed to them."""
 
     df: DataFrame
@@ -38,6 +38,9 @@ class Relation:
     doc: str = ""
     entities: dict[str, str] = field(default_factory=dict)
     reload: Callable[[], DataFrame] | None = None
+    key: tuple[str, ...] = ()
+    store: object = None  # what a store can do beyond being read: see sources.lookup
+    version: Callable[[], object] | None = None  # a token that changes with the facts
 
     @property
     def labels(self) -> list[str]:
@@ -75,9 +78,9 @@ class Catalog:
         """A base relation from rows in the program."""
         return self.add(name, self.spark.createDataFrame(list(rows), schema), **more)
 
-    def parquet(self, folder: str, names: Iterable[str], required: dict[str, Iterable[str]] | None = None) -> Catalog:
+    def parquet(self, folder: str, names: Iterable[str], required: dict[str, Iterable[str]] | None = None, keys: dict[str, Iterable[str]] | None = None) -> Catalog:
         for name in names:
-            self.add(name, self.spark.read.parquet(f"{folder}/{name}.parquet"), required=(required or {}).get(name, ()))
+            self.add(name, self.spark.read.parquet(f"{folder}/{name}.parquet"), required=(required or {}).get(name, ()), key=tuple((keys or {}).get(name, ())))
         return self
 
     def predicate(self, p: Predicate) -> Catalog:
@@ -131,9 +134,13 @@ def prefixed(cites: Column, prefix: str) -> Column:
 
 def federated(members: dict[str, DataFrame], holds: dict[str, Callable] | None = None) -> DataFrame:
     """The union of members' relations; citations get the member's name in front. A member's `holds`, a function
-    from its DataFrame to a condition, says which facts it may have; Spark prunes what can't match."""
+    from its DataFrame to a condition, says which facts it may have; Spark prunes what can't match. Facts of a member without
+    versions hold in every version that others tell."""
     parts = []
+    timed = any("__versions" in df.columns for df in members.values())
     for name, df in members.items():
+        if timed and "__versions" not in df.columns:
+            df = df.withColumn("__versions", F.expr(f"array(named_struct('from', 0L, 'to', {1 << 62}L))"))
         if "__cites" in df.columns:
             df = df.withColumn("__cites", prefixed(F.col("__cites"), f"{name}/"))
         parts.append(df.where(holds[name](df)) if holds and name in holds else df)

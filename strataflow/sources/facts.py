@@ -11,7 +11,7 @@ from strataflow.errors import SyntaxRefused
 from strataflow.plans.text import Reader
 from strataflow.plans.tree import Const, Wild
 from strataflow.sources.catalog import Catalog
-from strataflow.sources.storage import write
+from strataflow.sources.storage import file_system, write
 
 
 def read_facts(text: str) -> tuple[dict[str, list[tuple]], dict[str, list[str]], dict[str, list[str]]]:
@@ -91,6 +91,81 @@ def changes_of(spark: SparkSession, rel: DataFrame, name: str, changes: Iterable
     return spark.createDataFrame([(i, op, *values) for i, (op, r, values) in enumerate(changes) if r == name], schema)
 
 
+class Conflict(RuntimeError):
+    """Changes to a version that isn't the latest any more."""
+
+
+class Store:
+    """A relation kept in a folder as numbered versions of Parquet. A version is there once it is written whole, and is never
+    changed, so readers see one version or the next. Of two writers that change the same version one is refused."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def versions(self) -> list[int]:
+        fs, path = file_system(self.spark, f"{self.folder}/v*/_SUCCESS")
+        return sorted(int(s.getPath().getParent().getName()[1:]) for s in (fs.globStatus(path) or []))
+
+    def latest(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        at = self.latest() if version is None else version
+        if at is None:
+            raise FileNotFoundError(f"{self.folder} holds no version")
+        return self.spark.read.parquet(f"{self.folder}/v{at}")
+
+    def create(self, df: DataFrame) -> int:
+        return self._write(df, 0)
+
+    def _write(self, df: DataFrame, version: int) -> int:
+        try:
+            df.write.mode("error").parquet(f"{self.folder}/v{version}")
+        except Exception as e:
+            if "PATH_ALREADY_EXISTS" in str(e):
+                raise Conflict(f"version {version} is already there") from None
+            raise
+        return version
+
+    def apply(self, changes: DataFrame, base: int | None = None) -> int:
+        """The version that the changes (seq, change, values) make of the latest one, which must be `base` if that is given."""
+        from strataflow.operators.versions import applied
+
+        now = self.latest()
+        if now is None or (base is not None and base != now):
+            raise Conflict(f"the latest version is {now}, not {base}")
+        return self._write(applied(self.read(now), changes), now + 1)
+
+
+class Session:
+    """Changes of one relation of a store, gathered and seen before they are made."""
+
+    def __init__(self, store: Store, name: str) -> None:
+        self.store, self.name, self.base = store, name, store.latest()
+        self.changes: list[tuple[str, str, tuple]] = []
+
+    def add(self, *values: object) -> Session:
+        self.changes.append(("added", self.name, values))
+        return self
+
+    def remove(self, *values: object) -> Session:
+        self.changes.append(("removed", self.name, values))
+        return self
+
+    def rows(self) -> DataFrame:
+        return changes_of(self.store.spark, self.store.read(self.base), self.name, self.changes)
+
+    def view(self) -> DataFrame:
+        from strataflow.operators.versions import applied
+
+        return applied(self.store.read(self.base), self.rows())
+
+    def commit(self) -> int:
+        self.base = self.store.apply(self.rows(), self.base)
+        self.changes = []
+        return self.base
+
+
 def save(df: DataFrame, path: str | None = None) -> str:
     """Writes a relation as Parquet and returns where; without a path, to the shared folder."""
     if path is None:

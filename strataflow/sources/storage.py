@@ -38,8 +38,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, label: str) -> str:
-    path = fresh_path(df.sparkSession, label)
+def write(df: DataFrame, label: str, folder: str | None = None) -> str:
+    """Writes a table to the shared folder, or to another that is shared, and returns where."""
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}" if folder else fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return path
 
@@ -53,10 +54,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Hadoop's file systems, wherever it is."""
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, wherever it is, and the path as Hadoop has it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def dropped(*tables: DataFrame) -> None:

@@ -31,12 +31,12 @@ class Tools:
         return {"columns": df.columns, "rows": [list(r) for r in found[: self.rows]], "more": len(found) > self.rows}
 
     def query(self, program: str, params: dict | None = None) -> dict:
-        return self.table(self.engine.query(program, params=params))
+        return self.table(self.engine.query(program, params=params, ordered=True))
 
     def cypher(self, query: str, params: dict | None = None) -> dict:
         if self.graph is None:
             raise CheckError("unknown", "no graph view")
-        return self.table(self.engine.cypher(self.graph, query, params))
+        return self.table(self.engine.cypher(self.graph, query, params, ordered=True))
 
     def schema(self, prefix: str = "") -> dict:
         c = self.engine.catalog

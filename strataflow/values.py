@@ -26,6 +26,7 @@ class Kind:
     unit: str = ""
     nullable: bool = True
     whole: bool = False  # num of an integer type: no NaN
+    decimal: bool = False  # num of a decimal type: sums are exact
 
     @property
     def may(self) -> Kind:
@@ -47,7 +48,7 @@ def kind_of(t: T.DataType, nullable: bool = True, unit: str = "") -> Kind:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return Kind("num", unit, nullable, True)
     if isinstance(t, T.NumericType):
-        return Kind("num", unit, nullable)
+        return Kind("num", unit, nullable, False, isinstance(t, T.DecimalType))
     if isinstance(t, T.StringType):
         return Kind("text", "", nullable)
     if isinstance(t, T.StructType) and t.names == ["k", "n", "s", "u"]:
@@ -213,7 +214,7 @@ def common(kinds: list[Kind]) -> Kind:
     nullable, whole = any(k.nullable for k in kinds), all(k.whole for k in kinds)
     if any(k.name == "any" for k in kinds) or len({(k.name, k.unit) for k in kinds}) > 1:
         return Kind("any", "", nullable)
-    return Kind(first.name, first.unit, nullable, whole)
+    return Kind(first.name, first.unit, nullable, whole, all(k.decimal for k in kinds))
 
 
 def held(v: Val, kind: Kind) -> Column:
