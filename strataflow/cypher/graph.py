@@ -60,12 +60,19 @@ class Graph:
         return "\n".join(lines + [f"-[:{e.type}{' {' + ', '.join(e.props) + '}' if e.props else ''}]->" for e in self.edges])
 
 
+#: Kinds of nodes or of edges that a graph may have.
+KINDS = 10_000
+
+
 def kinds_of(catalog: Catalog, node: str = "node", edge: str = "edge") -> tuple[list[str], list[str]]:
-    """The node and edge kinds that a node-edge-attr store holds, read from its data: one row a kind."""
+    """The node and edge kinds that a node-edge-attr store holds, read from its data: one row a kind, KINDS at most."""
     found = []
     for name in (node, edge):
         r = catalog.relations[name]
-        found.append(sorted(x[0] for x in r.df.select(r.labels[1]).distinct().collect() if x[0] is not None))
+        rows = r.df.select(r.labels[1]).distinct().limit(KINDS + 1).collect()
+        if len(rows) > KINDS:
+            raise CheckError("unknown", f"{name} has more than {KINDS} kinds: its second column doesn't name kinds")
+        found.append(sorted(x[0] for x in rows if x[0] is not None))
     return found[0], found[1]
 
 

@@ -1,11 +1,16 @@
-"""For plain-language front ends, the parts that need no model: a card of the vocabulary, a grammar that holds a
-model's output to it, and chains of relations that lead from one kind of thing to another."""
+"""For plain-language front ends: a card of the vocabulary, a grammar that holds a model's output to it, chains of
+relations that lead from one kind of thing to another, and sessions over a model that the host brings."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from strataflow.engine import Engine
+from strataflow.errors import BudgetExceeded, CheckError, SyntaxRefused
 from strataflow.plans.text import AGGREGATES
 from strataflow.sources.catalog import Catalog
+from strataflow.sources.facts import read_facts
 
 
 def card(engine: Engine) -> str:
@@ -86,3 +91,92 @@ def chain_program(chain: list[tuple[str, str, str]], catalog: Catalog) -> str:
     for i, (name, a, b) in enumerate(chain):
         atoms.append(f"{name}(" + ", ".join(f"?x{i}" if c == a else f"?x{i + 1}" if c == b else "_" for c in catalog.relations[name].labels) + ")")
     return ", ".join(atoms) + f" => ?x0, ?x{len(chain)}"
+
+
+@dataclass(frozen=True)
+class Reply:
+    """The program that was run and its rows; `tries` counts what the model was asked, `agreed` how many of its programs
+    answered alike. Without a program `error` tells what was wrong with the last one."""
+
+    program: str = ""
+    columns: tuple = ()
+    rows: tuple = ()
+    tries: int = 0
+    agreed: int = 0
+    error: str = ""
+
+
+def program_in(text: str) -> str:
+    """The program in a model's output: what a fence holds, if there is one, else all of it."""
+    parts = text.split("```")
+    inside = parts[1] if len(parts) > 2 else text
+    first, _, rest = inside.partition("\n")
+    return (rest if len(parts) > 2 and first.strip().isalpha() else inside).strip()
+
+
+class Session:
+    """Questions one after another, translated by a host's model, a function from a prompt to text.
+
+    A program that is refused goes back to the model with the reason, `tries` times at most. With several votes the model
+    is asked as often, and the answer that most of its programs give is taken, of equally many the first. Earlier
+    questions and their programs are part of the prompt, so that later ones may refer to them.
+    """
+
+    def __init__(self, engine: Engine, model: Callable[[str], str], tries: int = 3, votes: int = 1, rows: int = 200) -> None:
+        self.engine, self.model, self.tries, self.votes, self.rows = engine, model, tries, votes, rows
+        self.said: list[tuple[str, str]] = []
+
+    def prompt(self, question: str, wrong: list[tuple[str, str]]) -> str:
+        parts = [card(self.engine), *[f"Question: {q}\nProgram:\n{p}" for q, p in self.said], f"Question: {question}"]
+        parts += [f"This program was refused:\n{p}\nReason: {why}" for p, why in wrong]
+        return "\n\n".join([*parts, "Program:"])
+
+    def translated(self, question: str) -> Reply:
+        wrong: list[tuple[str, str]] = []
+        for n in range(1, self.tries + 1):
+            program = program_in(self.model(self.prompt(question, wrong)))
+            try:
+                df = self.engine.query(program, ordered=True).limit(self.rows)
+                return Reply(program, tuple(df.columns), tuple(map(tuple, df.collect())), n, 1)
+            except (CheckError, SyntaxRefused, BudgetExceeded) as e:
+                wrong.append((program, str(e)))
+        return Reply(tries=self.tries, error=wrong[-1][1])
+
+    def ask(self, question: str) -> Reply:
+        found = [self.translated(question) for _ in range(self.votes)]
+        tries, good = sum(r.tries for r in found), [r for r in found if r.program]
+        if not good:
+            return Reply(tries=tries, error=found[-1].error)
+        alike = {r.rows: sum(o.rows == r.rows for o in good) for r in good}
+        best = max(good, key=lambda r: alike[r.rows])
+        self.said.append((question, best.program))
+        return Reply(best.program, best.columns, best.rows, tries, alike[best.rows])
+
+
+def extracted(catalog: Catalog, model: Callable[[str], str], text: str, relations: list[str]) -> tuple[dict[str, list[tuple]], list[str]]:
+    """Facts of these relations that a model finds in a text, and the lines of its output that aren't such facts.
+
+    A line is kept if it reads as a fact, of a relation that was asked for, with its number of arguments, inside its columns'
+    domains and with numbers where the column holds numbers.
+    """
+    shape = "\n".join(catalog.describe(n) for n in relations)
+    out: dict[str, list[tuple]] = {n: [] for n in relations}
+    refused = []
+    for line in program_in(model(f"Relations:\n{shape}\n\nText:\n{text}\n\nFacts, a line each:")).splitlines():
+        try:
+            rows, _, _ = read_facts(line)
+        except SyntaxRefused:
+            refused.append(line)
+            continue
+        for name, found in rows.items():
+            r = catalog.relations.get(name) if name in relations else None
+            fits = r is not None and all(
+                len(t) == len(r.labels)
+                and all(v is None or ((k.name == "num") == isinstance(v, (int, float)) and (c not in r.domains or v in r.domains[c])) for c, k, v in zip(r.labels, r.kinds, t, strict=True))
+                for t in found
+            )
+            if fits:
+                out[name] += [t for t in found if t not in out[name]]
+            else:
+                refused.append(line)
+    return out, refused
