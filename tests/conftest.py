@@ -6,11 +6,20 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from strataflow.engine import Engine  # noqa: E402
+
+
+class Ordered(Engine):
+    """An engine whose answers come in the default order, so that tests can tell it."""
+
+    def query(self, *args, **more):
+        return super().query(*args, **{"ordered": True} | more)
+
 
 @pytest.fixture(scope="session")
 def spark():
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', 4)}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

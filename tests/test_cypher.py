@@ -1,7 +1,8 @@
 import pytest
 
+from conftest import Ordered as Engine
+
 from strataflow.cypher import Edge, Graph, Node, Refused, compile_query, kinds_of, store
-from strataflow.engine import Engine
 
 GRAPH = Graph((Node("Package", "pkg", 3, 0, {"name": 0, "license": 1, "loc": 2}),), (Edge("IMPORTS", "imports", 2), Edge("USES", "uses", 3, 0, 1, {"weight": 2})))
 

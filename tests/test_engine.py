@@ -4,11 +4,12 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from strataflow.engine import Engine
+from conftest import Ordered as Engine
+
 from strataflow.errors import BudgetExceeded, CheckError
 from strataflow.naive import Naive, num, rank
 from strataflow.operators import kernel, walks
-from strataflow.plans.compiler import Limits
+from strataflow.limits import Limits
 from strataflow.plans.text import parse
 from strataflow.sources.catalog import Catalog
 
@@ -114,6 +115,29 @@ def test_closure_and_paths_by_hand(engine):
     assert answers(engine, 'graph.paths("edge", "e", ?x, "walk", 0, 2, ?p) => ?p') == [('["e","e","e"]',), ('["e","e"]',), ('["e"]',)]
 
 
+LOOP = "p(?a, ?b) :- line(?a, ?b); p(?a, ?c) :- p(?a, ?b), p(?b, ?c), ?a != ?c; p(?a, ?b)"
+
+
+@pytest.mark.parametrize("memory", [None, 0])
+def test_limits_hold_either_way(spark, memory):
+    """A line of 6 nodes: 15 pairs are reached in 5 rounds, and a sixth finds nothing."""
+    e = Engine(spark)
+    e.catalog.rows("line", [(i, i + 1) for i in range(5)], "f long, t long")
+    walk, paths = 'graph.closure("line", ?a, ?b, 1, 0, ?h)', 'graph.paths("line", ?a, ?b, "{}", 1, 0, ?p)'
+    tried = lambda text, **limits: e.query(text, limits=Limits(edges=memory, tuples=memory, **limits), ordered=False).count()
+    assert tried(walk, rounds=6, rows=15) == 15 and tried(LOOP, rows=15) == 15
+    for text in (walk, paths.format("acyclic"), paths.format("shortest")):
+        assert tried(text, rounds=6) == 15
+        for limits in ({"rounds": 5}, {"rows": 14}):
+            with pytest.raises(BudgetExceeded):
+                tried(text, **limits)
+    for limits in ({"rounds": 1}, {"rows": 9}):
+        with pytest.raises(BudgetExceeded):
+            tried(LOOP, **limits)
+    with pytest.raises(BudgetExceeded):
+        e.query(walk, limits=Limits(edges=0, seconds=0))
+
+
 @pytest.mark.parametrize("low,high", [(0, 0), (1, 0), (1, 2), (2, 3), (3, 4)])
 def test_both_ways_of_walking_agree(engine, monkeypatch, low, high):
     texts = [f'graph.closure("edge", ?a, ?b, {low}, {high}, ?h)', f'graph.closure("edge", ?a, "d", {low}, {high}, ?h)']
@@ -123,6 +147,20 @@ def test_both_ways_of_walking_agree(engine, monkeypatch, low, high):
     assert [answers(engine, t) for t in texts] == small
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_both_ways_agree_on_every_kind(spark, kind):
+    """Nodes and edge names of each kind, in all modes and for closures: one rendering and one choice."""
+    cast = {"long": int, "double": float, "string": str}[kind]
+    pairs = [(1, 9), (1, 10), (9, 2), (10, 2), (2, 1), (1, 100000), (100000, 3), (1, 20), (20, 3), (1, 9)]
+    edges = spark.createDataFrame([(cast(f), cast(t), cast(12 - i)) for i, (f, t) in enumerate(pairs)], f"f {kind}, t {kind}, e {kind}")
+    for memory in (Limits(), Limits(edges=0)):
+        found = [sorted(map(tuple, walks.paths(edges, mode, 1, 3, named, limits=memory).collect())) for mode in walks.MODES for named in (False, True)]
+        found.append(sorted(map(tuple, walks.closure(edges, 1, 3, limits=memory).collect())))
+        if memory.edges is None:
+            first = found
+    assert found == first
+
+
 @pytest.mark.parametrize("mode", walks.MODES)
 def test_both_ways_agree_on_numbers(spark, monkeypatch, mode):
     pairs = [(1.0, 9.0), (1.0, 10.0), (9.0, 2.5), (10.0, 2.5), (1.0, 1e7), (1e7, 3.0), (1.0, 20.0), (20.0, 3.0), (2.5, 1.0), (1.0, 9.0)]
@@ -152,12 +190,12 @@ def test_exact_counts(spark):
     e = Engine(spark)
     e.catalog.rows("edge", [(f"v{i}", f"v{i + 1}") for i in range(149)], SCHEMAS["edge"])
     reach = "r(?a, ?b) :- edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), edge(?b, ?c); "
-    assert e.query(reach + "r(?a, ?b)", ordered=False).count() == 11_175
+    assert e.query(reach + "r(?a, ?b)").count() == 11_175
     tree = [(f"t{i}", f"t{c}") for i in range(63) for c in (2 * i + 1, 2 * i + 2)]
     e.catalog.rows("up", tree, SCHEMAS["edge"])
     same = "s(?x, ?y) :- up(?p, ?x), up(?p, ?y); s(?x, ?y) :- up(?a, ?x), s(?a, ?b), up(?b, ?y); "
-    assert e.query(same + "s(?x, ?y)", ordered=False).count() == sum(4**d for d in range(1, 7))
-    assert e.query(same + 's("t70", ?y)', ordered=False).count() == 64
+    assert e.query(same + "s(?x, ?y)").count() == sum(4**d for d in range(1, 7))
+    assert e.query(same + 's("t70", ?y)').count() == 64
 
 
 def test_params_pages_and_totals(engine):
@@ -255,3 +293,68 @@ def test_absent_equals_absent_but_not_in_order(spark):
     assert [r[0] for r in e.query("l(?k, ?v), r(?v) => ?k").collect()] == [1, 2, 3]
     assert [r[0] for r in e.query("l(?k, ?v), ?v >= 0 => ?k").collect()] == [3]
     assert [r[0] for r in e.query("l(?k, ?v) => ?v, ?k").select("k").collect()] == [1, 2, 3]
+
+
+def test_cited_walks(spark):
+    e = Engine(spark)
+    rows = [("a", "b", ["2"]), ("b", "d", ["9"]), ("a", "c", ["5"]), ("c", "d", ["1"]), ("a", "b", ["3"]), ("d", "a", ["7"])]
+    e.catalog.rows("road", rows, "f string, t string, __cites array<string>")
+    got = [tuple(r) for r in e.query('graph.closure("road", "a", ?x, 1, 0, ?h)', cites=True).collect()]
+    assert got == [("a", 3, ["1", "5", "7"]), ("b", 1, ["2"]), ("c", 1, ["5"]), ("d", 2, ["1", "5"])]
+    got = [tuple(r) for r in e.query('graph.closure("road", ?x, "d", 1, 2, ?h)', cites=True).collect()]
+    assert got == [("a", 2, ["1", "5"]), ("b", 1, ["9"]), ("c", 1, ["1"])]
+    got = [tuple(r) for r in e.query('graph.paths("road", "a", "d", "acyclic", 1, 0, ?p) => ?p', cites=True).collect()]
+    assert got == [('["a","b","d"]', ["2", "9"]), ('["a","c","d"]', ["1", "5"])]
+
+
+def test_plans_without_needless_work(spark):
+    """Answers that show a key need no distinct, tests by key are semi joins, and only asked orders sort."""
+    e = Engine(spark)
+    e.catalog.add("item", spark.range(100).selectExpr("id AS k", "id % 7 AS g", "id % 3 AS h"), required=["k", "g", "h"], key=("k",))
+    plan = lambda text, **more: e.query(text, ordered=False, **more)._jdf.queryExecution().optimizedPlan().toString()
+    shown = plan("item(?k, ?g, _), ?g > 2 => ?k, ?g")
+    assert "Aggregate" not in shown and "Sort" not in shown
+    assert "Aggregate" in plan("item(?k, ?g, _) => ?g") and "Aggregate" in plan("item(?k, ?g, _), item(?j, ?g, _) => ?k, ?g")
+    assert "LeftSemi" in plan("big(?g) :- item(_, ?g, ?h), ?h > 1; item(?k, ?g, _), big(?g) => ?k, ?g")
+    assert "LeftSemi" in plan("item(?k, ?g, ?h), item(?g, _, _) => ?k, ?h") and "LeftSemi" not in plan("item(?k, ?g, _), item(_, ?g, _) => ?k, count(?g)")
+    assert e.query("item(?k, ?g, _), item(?g, _, _) => count(?k)").first()[0] == 100
+    assert e.query("item(?k, ?g, _), item(_, ?g, _) => count(?k)").first()[0] == sum(sum(j % 7 == i % 7 for j in range(100)) for i in range(100))
+
+
+def test_sums_are_exact(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    groups = {0: [1e16, 1.0, -1e16], 1: [0.1] * 10, 2: [-0.1] * 7, 3: [float("inf"), 2.0], 4: [1e300, 1e300], 5: [1e18, -1e18 + 128, -0.25], 6: [None], 7: [-1e-9, 2.0]}
+    groups |= {i: [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-9, 17) for _ in range(rng.randint(1, 30))] for i in range(8, 40)}
+    e = Engine(spark)
+    e.catalog.rows("v", [(k, x) for k, xs in groups.items() for x in xs], "k int, x double")
+    for k, total, mean in answers(e, "v(?k, ?x) => ?k, sum(?x), avg(?x)"):
+        xs = [x for x in groups[k] if x is not None]
+        assert total == math.fsum(xs) and mean == (math.fsum(xs) / len(xs) if xs else None)
+    e.catalog.rows("nan", [(float("nan"),), (1.0,)], "x double")
+    assert math.isnan(e.query("nan(?x) => sum(?x)").first()[0])
+
+
+def test_work_can_be_cancelled(spark):
+    import threading
+    import time
+
+    e = Engine(spark)
+    e.catalog.add("slow", spark.range(4).selectExpr("id AS k"), required=["k"])
+    from strataflow.functions import host
+
+    e.catalog.predicate(host.generator(lambda k: [time.sleep(30) or k], "wait", (0,), (1,), ("long",)))
+    began = time.time()
+    done = threading.Event()
+
+    def stop():
+        while not done.wait(3):
+            e.cancel("asked")
+
+    threading.Thread(target=stop, daemon=True).start()
+    with pytest.raises(Exception, match="(?i)cancel"), e.cancellable("asked"):
+        e.query("slow(?k), wait(?k, ?x) => count(?x)").collect()
+    done.set()
+    assert time.time() - began < 25

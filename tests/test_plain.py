@@ -1,5 +1,6 @@
+from conftest import Ordered as Engine
+
 from strataflow import plain
-from strataflow.engine import Engine
 from strataflow.plans.text import parse
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataflow.engine import Engine
+from conftest import Ordered as Engine
+
 from strataflow.errors import CheckError
 from strataflow.functions import units
 from strataflow.operators import versions
@@ -194,3 +195,25 @@ def test_maintained_over_a_stream(spark, tmp_path):
     assert m.advance(spark.createDataFrame([("q", "c")], "f string, t string"), 1) == 0, "a batch delivered again"
     with pytest.raises(CheckError):
         Maintained(e, "p(?a) :- edge(?a, _), not good(?a);", "p", "edge")
+
+
+def test_maintained_state_outlives_its_maker(spark, tmp_path, monkeypatch):
+    """Another engine goes on from the folder: with the facts of all batches, without those delivered again."""
+    from strataflow.streaming import incremental
+
+    monkeypatch.setattr(incremental, "SETS", 2)
+    rules = "r(?a, ?b) :- edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), edge(?b, ?c);"
+
+    def begun():
+        e = Engine(spark)
+        e.catalog.rows("edge", [("a", "b")], "f string, t string")
+        return Maintained(e, rules, "r", "edge", str(tmp_path / "state"))
+
+    step = lambda f, t: spark.createDataFrame([(f, t)], "f string, t string")
+    m = begun()
+    for i, (f, t) in enumerate([("b", "c"), ("c", "d"), ("d", "e")]):
+        m.advance(step(f, t), i)
+    again = begun()
+    assert again.last == 2 and set(rows(again.answer())) == {(a, b) for a in "abcd" for b in "bcde" if a < b}
+    assert again.advance(step("x", "y"), 2) == 0 and again.advance(step("e", "f"), 3) == 5
+    assert len(rows(again.answer())) == 15
