@@ -312,15 +312,15 @@ def room(n: Column, place: Column, m: Column, other: Column, percent: int) -> Co
     return may_link(n, m, percent) & ((100 + percent) * F.least(n - place, m - other) >= percent * (n + m))
 
 
-def rare_links(sets: DataFrame, percent: int, edges: DataFrame) -> DataFrame:
-    """Edges, with what links the components that they leave in these families: sets (g, id, n, payload).
+def rare_links(sets: DataFrame, percent: int, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """Edges, whose components are given, with what links the components that they leave in these families: sets (g, id, n, payload).
 
     Twice over pairs of sets that share a rare shingle and belong to different components: first each set with one of
     another component, which joins most of what is linked, then every pair that is still apart.
     """
     prefix = cut(rare_shingles(sets, percent), "rare")
     for every in (False, True):
-        now = label(prefix, components(edges))
+        now = label(prefix, components(edges) if every else comps)
         if every:
             p, q = now.alias("p"), now.alias("q")
             fits = room(F.col("p.n"), F.col("p.place"), F.col("q.n"), F.col("q.place"), percent)
@@ -382,10 +382,11 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: i
     if not large.isEmpty():
         own = large.select(F.col("id").alias("member"))
         edges = cut(edges.union(confirmed(close.join(own, F.col("a") == F.col("member"), "left_semi"), large, percent)), "links")
-        apart = label(large.select("g", "id"), components(edges)).groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+        comps = components(edges)
+        apart = label(large.select("g", "id"), comps).groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
         apart = cut(apart.select(F.col("g").alias("h")), "apart")
         if not apart.isEmpty():
-            edges = rare_links(cut(large.join(apart, F.col("g") == F.col("h")).select("g", "id", "n", "payload"), "apart"), percent, edges)
+            edges = rare_links(cut(large.join(apart, F.col("g") == F.col("h")).select("g", "id", "n", "payload"), "apart"), percent, edges, comps)
     comps = components(cut(edges, "links"))
     roots = cut(label(classes.withColumn("id", F.col("rep")), comps).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "comp"), "roots")
     dropped(chosen, family, sets, close, classes)
