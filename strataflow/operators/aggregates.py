@@ -40,25 +40,34 @@ def exact_sum(x: Column) -> Column:
     bits = lambda n: F.lit(1 << n).cast("decimal(20,0)")
     over = lambda v, n: F.call_function("div", v, bits(n))
     zero = F.lit(0).cast("decimal(20,0)")
-    units, mid, low = whole(a), whole(b), whole(c)
-    mid, low = mid + over(low, 60), low % bits(60)
-    units, mid = units + over(mid, 40), mid % bits(40)
-    # Borrowing makes the two lower parts positive, or all three of one sign where the sum is below zero.
-    mid, low = mid - F.when(low < 0, 1).otherwise(0), F.when(low < 0, low + bits(60)).otherwise(low)
-    units, mid = units - F.when(mid < 0, 1).otherwise(0), F.when(mid < 0, mid + bits(40)).otherwise(mid)
-    below = (units < 0) & ((mid > 0) | (low > 0))
     wide = lambda v: v.cast("decimal(38,0)")
     # What is below the last place that a double takes decides ties only, as one more bit.
     tied = lambda v, more: (F.try_multiply(wide(v), F.lit(2)) + F.when(more, 1).otherwise(0)).cast("double")
-
-    def value(u: Column, m: Column, n: Column) -> Column:
-        upper = F.try_add(F.try_multiply(wide(u), bits(40)), wide(m))
-        every = F.try_add(F.try_multiply(wide(upper), bits(60)), wide(n))
-        large = F.when(u >= bits(53), tied(u, (m > 0) | (n > 0)) / 2.0).when(upper >= bits(54), tied(upper, n > 0) / float(1 << 41))
-        return large.otherwise(every.cast("double") / float(1 << 100))
-
-    under = value(-units - 1, bits(40) - mid - F.when(low > 0, 1).otherwise(0), F.when(low > 0, bits(60) - low).otherwise(zero))
-    return F.when(F.max(~fine), F.sum(d)).otherwise(F.when(below, -under).otherwise(value(units, mid, low)))
+    parts = lambda u, m, n: F.struct(wide(u).alias("u"), wide(m).alias("m"), wide(n).alias("n"))
+
+    def carried(s: Column) -> Column:
+        return V.let(parts(s["u"], s["m"] + over(s["n"], 60), s["n"] % bits(60)), lambda t: parts(t["u"] + over(t["m"], 40), t["m"] % bits(40), t["n"]))
+
+    def borrowed(s: Column) -> Column:
+        """The two lower parts positive."""
+        one = lambda c: F.when(c < 0, 1).otherwise(0)
+        up = lambda c, n: F.when(c < 0, c + bits(n)).otherwise(c)
+        return V.let(parts(s["u"], s["m"] - one(s["n"]), up(s["n"], 60)), lambda t: parts(t["u"] - one(t["m"]), up(t["m"], 40), t["n"]))
+
+    def turned(s: Column) -> Column:
+        """All three of one sign where the sum is below zero: its size, which is told with the sign."""
+        below = parts(-s["u"] - 1, bits(40) - s["m"] - F.when(s["n"] > 0, 1).otherwise(0), F.when(s["n"] > 0, bits(60) - s["n"]).otherwise(zero))
+        return F.when((s["u"] < 0) & ((s["m"] > 0) | (s["n"] > 0)), F.struct(below.alias("s"), F.lit(-1.0).alias("sign"))).otherwise(F.struct(s.alias("s"), F.lit(1.0).alias("sign")))
+
+    def value(t: Column) -> Column:
+        s = t["s"]
+        upper = F.try_add(F.try_multiply(s["u"], bits(40)), s["m"])
+        every = lambda v: F.try_add(F.try_multiply(wide(v), bits(60)), s["n"]).cast("double") / float(1 << 100)
+        small = V.let(upper, lambda v: F.when(v >= bits(54), tied(v, s["n"] > 0) / float(1 << 41)).otherwise(every(v)))
+        return t["sign"] * F.when(F.abs(s["u"]) >= bits(53), tied(s["u"], (s["m"] > 0) | (s["n"] > 0)) / 2.0).otherwise(small)
+
+    exact = V.let(parts(whole(a), whole(b), whole(c)), lambda s: V.let(carried(s), lambda t: V.let(borrowed(t), lambda w: V.let(turned(w), value))))
+    return F.when(F.max(~fine), F.sum(d)).otherwise(exact)
 
 
 def total(v: Val, x: Column) -> Column:

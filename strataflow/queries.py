@@ -24,7 +24,7 @@ KEYS = {
 #: Columns that tell a table's rows apart.
 IDENTITY = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
-    "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"],
+    "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"],
 }
 
 
