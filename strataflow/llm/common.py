@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataflow.sources.storage import cut, drop_path, dropped, fresh_path, shared_folder
 
-__all__ = ["SPACE", "SPACES", "WORD", "cut", "drop_path", "dropped", "fresh_path", "prefix_sums", "shared_folder", "table", "text_or_empty"]
+__all__ = ["SPACE", "SPACES", "WORD", "cut", "drop_path", "dropped", "fresh_path", "prefix_sums", "set_apart", "shared_folder", "table", "text_or_empty"]
 
 #: The word pattern of the contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,5 +44,17 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     return joined.withColumn(out, (F.col("__base") + F.col("__local")).cast("long")).drop("__base", "__local", "__b", *names)
 
 
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame, dict[str, Column]], DataFrame]]:
+    """df with its columns named by place, the place of each name, and the way back: the columns under their own names again,
+    with further ones, which replace those of the same name. In between an operator's names meet no one else's."""
+    names = df.columns
+    flat = df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+
+    def back(out: DataFrame, added: dict[str, Column]) -> DataFrame:
+        return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in added], *[c.alias(n) for n, c in added.items()])
+
+    return flat, {n: f"c{i}" for i, n in enumerate(names)}, back
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

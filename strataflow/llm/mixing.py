@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WORD, cut, prefix_sums, table, text_or_empty
+from strataflow.llm.common import WORD, cut, prefix_sums, set_apart, table, text_or_empty
 
 #: The hash keys of a source are cut into this many ranges.
 RANGES = 1024
@@ -47,25 +47,27 @@ def hash_key(key: Column) -> Column:
 def mix(df: DataFrame, key: str, size: str, source: str, weights: list[float], share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Adds source_size, target and `taken`: how much of each row's size the mix takes.
 
-    Sizes are long, not null. The sum of `taken` over a source is the whole part of its target. Rows of size 0 take 0; equal rows are told apart
-    by position only. The table of sources, one row each, is the only thing that meets in one task.
+    Sizes are long, not null. The sum of `taken` over a source is the whole part of its target. Rows of size 0 take 0; rows
+    alike in key and size are told apart by position only. A null source is a source, a null key a key. Other columns may
+    have any names; those named like an added one are replaced. An empty table stays empty. The table of sources, one row
+    each, is the only thing that meets in one task.
     """
-    sums = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(size).alias("source_size"))
-    plan = targets(sums, weights, share, cap).select(
-        F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target")
-    )
+    flat, at, back = set_apart(df)
+    own, n, of = at[key], at[size], at[source]
+    sums = flat.groupBy(F.col(of).alias("source")).agg(F.sum(n).alias("source_size"))
+    plan = targets(sums, weights, share, cap).select(F.col("source").alias("s"), F.col("source_size").alias("whole"), "target")
     # Written first, its size is known when the join below is planned: few sources are sent to the rows, not the rows shuffled.
     plan = cut(plan, "targets")
     bits = RANGES.bit_length() - 1
-    keyed = df.withColumn("__key", hash_key(F.col(f"`{key}`"))).withColumn("__range", F.shiftright("__key", 48 - bits))
-    order = [F.col(c).asc_nulls_first() for c in ("__key", key, size)]
-    summed = prefix_sums(keyed, [source], "__range", order, size, "__before")
-    out = summed.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("__s")), "left")
-    budget = F.floor("__target").cast("long")
-    epochs = F.when(F.col("__size") > 0, F.expr("floor(__target) div __size")).otherwise(F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("__size") - F.col("__before")
-    taken = epochs * F.col(size) + F.greatest(F.lit(0), F.least(F.col(size), rest))
-    return out.withColumns({"taken": taken.cast("long"), "source_size": F.col("__size"), "target": F.col("__target")}).drop("__size", "__target", "__key", "__range", "__before", "__s")
+    keyed = flat.withColumn("draw", hash_key(F.col(own))).withColumn("range", F.shiftright("draw", 48 - bits))
+    order = [F.col(c).asc_nulls_first() for c in ("draw", own, n)]
+    summed = prefix_sums(keyed, [of], "range", order, n, "before")
+    out = summed.join(plan, F.col(of).eqNullSafe(F.col("s")), "left")
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("whole") > 0, F.expr("floor(target) div whole")).otherwise(F.lit(0)).cast("long")
+    rest = budget - epochs * F.col("whole") - F.col("before")
+    taken = epochs * F.col(n) + F.greatest(F.lit(0), F.least(F.col(n), rest))
+    return back(out, {"source_size": F.col("whole"), "target": F.col("target"), "taken": taken.cast("long")})
 
 
 def count_words(text: Column) -> Column:

@@ -17,7 +17,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import table, text_or_empty
+from strataflow.llm.common import set_apart, table
 
 # The patterns of the contract, as Java's regular expressions.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -195,12 +195,15 @@ def score_table(scores: tuple[int, ...]) -> Column:
 def scan(df: DataFrame, text: str = "text", scores: tuple[int, ...] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """Adds `base` and `found`, arrays of spans in order; `found` holds the base spans too.
 
-    A null text counts as empty. Spans are in code points, the end exclusive.
+    A null text counts as empty and has no spans; texts are scanned whole, however long. Spans are in code points, the end
+    exclusive; those that begin alike come in the order of their kinds. Rows are scanned one by one, so repeated rows get
+    equal spans. Columns may have any names; those named base or found are replaced. An empty table stays empty.
     """
-    body = text_or_empty(text)
-    found = df.withColumn("base", F.array_sort(base_spans(body)))
+    flat, at, back = set_apart(df)
+    body = F.coalesce(F.col(at[text]), F.lit(""))
+    out = flat.withColumn("base", F.array_sort(base_spans(body)))
     table_ = score_table(scores or default_table())
-    return found.withColumn("found", F.array_sort(F.concat("base", markov_spans(body, F.col("base"), table_, threshold))))
+    return back(out, {"base": F.col("base"), "found": F.array_sort(F.concat("base", markov_spans(body, F.col("base"), table_, threshold)))})
 
 
 def rendered(spans: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import prefix_sums, table, text_or_empty
+from strataflow.llm.common import prefix_sums, set_apart, table, text_or_empty
 
 #: The rows of a shard are numbered bucket by bucket; this many buckets share its rows.
 SLOT_BUCKETS = 1024
@@ -34,25 +34,32 @@ def choose(key: Column, weights: list[float]) -> Column:
 def shards(df: DataFrame, key: str, weights: list[float], new_weight: float | None = None) -> DataFrame:
     """Adds `shard` and, with `new_weight`, `grown_shard`: the place once a shard of that weight joins.
 
-    A null key has a draw of its own and so a place; equal keys share a place; other columns have no
-    say, and an empty table stays empty.
+    A null key has a draw of its own and so a place; equal keys, so repeated rows, share a place; draws that tie go to the
+    smaller shard. Other columns have no say and may have any names; those named like an added one are replaced. An
+    empty table stays empty. Texts are not read.
     """
-    name = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("null"))
-    out = df.withColumn("__won", choose(name, weights))
-    added = {"shard": F.col("__won.shard")}
+    flat, at, back = set_apart(df)
+    name = F.coalesce(F.concat(F.lit("k"), F.col(at[key]).cast("string")), F.lit("null"))
+    out = flat.withColumn("won", choose(name, weights))
+    added = {"shard": F.col("won.shard")}
     if new_weight is not None:
         n = len(weights)
-        added["grown_shard"] = F.when(draw(name, n, new_weight) < F.col("__won.draw"), F.lit(n)).otherwise(F.col("__won.shard"))
-    return out.withColumns(added).drop("__won")
+        added["grown_shard"] = F.when(draw(name, n, new_weight) < F.col("won.draw"), F.lit(n)).otherwise(F.col("won.shard"))
+    return back(out, added)
 
 
 def numbered(df: DataFrame, key: str, size: str, check: str, buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Adds `slot`, from 0 without gaps within each shard: two small shuffles, no task per shard."""
-    name = F.concat_ws("/", F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, size, check)])
+    """Adds `slot`, from 0 without gaps within each `shard`: two small shuffles, no task per shard.
+
+    Rows come in the order of a hash of key, size and check, then of these, nulls first; rows alike in all of them are
+    exchangeable. Columns may have any names; one named slot is replaced. An empty table stays empty.
+    """
+    flat, at, back = set_apart(df)
+    name = F.concat_ws("/", F.lit("slot"), *[F.coalesce(F.col(at[c]).cast("string"), F.lit("null")) for c in (key, size, check)])
     bucket = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    dealt = df.withColumns({"__bucket": bucket, "__one": F.lit(1)})
-    order = [F.col(c).asc_nulls_first() for c in (key, size, check)]
-    return prefix_sums(dealt, ["shard"], "__bucket", order, "__one", "slot").drop("__bucket", "__one")
+    dealt = flat.withColumns({"bucket": bucket, "one": F.lit(1)})
+    order = [F.col(at[c]).asc_nulls_first() for c in (key, size, check)]
+    return back(prefix_sums(dealt, [at["shard"]], "bucket", order, "one", "slot"), {"slot": F.col("slot")})
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,12 @@ def test_divergent_texts_fail_and_clean_ones_stay(spark):
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string"), "text", "lang", ["doc_id"]).collect()}
     assert all(got[i] for i in range(30)) and not any(got[100 + i] for i in range(3))
     assert quality.judge(spark.createDataFrame([], "doc_id int, text string, lang string"), "text", "lang", ["doc_id"]).count() == 0
+
+
+def test_a_scan_of_any_columns_and_of_none(spark):
+    df = spark.createDataFrame([(1, "token=abcdef12", "b", "f", "s"), (1, "token=abcdef12", "b", "f", "s"), (2, None, None, None, None)], "doc_id long, text string, base string, found string, spans string")
+    out = secrets.scan(df)
+    assert out.columns == ["doc_id", "text", "spans", "base", "found"]
+    got = [(r.doc_id, r.spans, [(s.start, s.end) for s in r.base], len(r.found)) for r in out.orderBy("doc_id").collect()]
+    assert got == [(1, "s", [(0, 14)], 1), (1, "s", [(0, 14)], 1), (2, None, [], 0)]
+    assert secrets.scan(df.limit(0)).count() == 0

@@ -85,3 +85,17 @@ def test_mixing_by_brute_force(spark):
 def test_words_are_counted_as_stated(spark):
     df = spark.createDataFrame([("a b\u00a0c  d\te\x0bf\n",), ("",), (" \n",), ("é",)], "text string")
     assert [r[0] for r in df.select(mixing.count_words(F.col("text"))).collect()] == [5, 0, 0, 1]
+
+
+def test_names_that_clash(spark):
+    """An input's columns may be named like the operators' own; those named like an added one are replaced."""
+    names = ["shard", "grown_shard", "slot", "won", "bucket", "__won", "__b", "__g0", "c0", "taken", "target", "source_size", "before", "draw"]
+    df = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 5).alias("size"), F.lit("s").alias("source"), (F.col("id") * 2).alias("crc"), *[F.lit(n).alias(n) for n in names])
+    out = sharding.numbered(sharding.shards(df, "doc_id", [1.0, 1.0], 1.0), "doc_id", "size", "crc")
+    assert sorted(out.columns) == sorted(df.columns)
+    rows = out.collect()
+    assert {r.shard for r in rows} == {0, 1} and all(r[n] == n for r in rows for n in names if n not in ("shard", "grown_shard", "slot"))
+    assert sorted(r.slot for r in rows if r.shard == 0) == list(range(sum(r.shard == 0 for r in rows)))
+    mixed = mixing.mix(df, "doc_id", "size", "source", [1.0])
+    assert sorted(mixed.columns) == sorted(df.columns)
+    assert sum(r.taken for r in mixed.collect()) == 90 and all(r[n] == n for r in mixed.collect() for n in names if n not in ("taken", "target", "source_size"))
