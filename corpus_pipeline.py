@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm import langid, mixing, neardup, pieces, secrets
-from strataflow.llm.common import cut, table, text_or_empty
+from strataflow.llm.common import cut, dropped, table, text_or_empty
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -65,5 +65,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        after = cut(stage(spark, docs, sf_dir), name)
+        dropped(docs)  # what the stage before wrote
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
