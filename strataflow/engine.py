@@ -55,6 +55,8 @@ class Engine:
         vs = sorted(set(across)) if across is not None else None
         if vs is not None:
             q = self.across(q, vs)
+        if not cites and at is None and vs is None:
+            q = self.joined_by_stores(q)
         c = Compiler(self.catalog, q.rules, cites, at, vs, (limits or Limits()).started())
         return self.answer(c, q, list(names) if names is not None else None, ordered, vs is not None, params, reasons)
 
@@ -242,8 +244,8 @@ class Engine:
             keys, values = iter(f"k{k}" for k in range(len(groups))), iter(f"m{k}" for k in range(len(made)))
             return out.select(*[F.col(next(values) if isinstance(i, Agg) else next(keys)).alias(n) for i, n in zip(items, labels, strict=True)])
         shown = [i.name for i in items if isinstance(i, Var)]
-        if r.store.page and q.limit is not None and q.order and len(shown) == len(items) and set(shown) == set(variables):
-            order = [(column[i.name], down) for i, down in q.order] + [(column[n], False) for n in shown]
+        if r.store.page and q.limit is not None and len(shown) == len(items) and set(shown) == set(variables):
+            order = [(column[i.name], down) for i, down in q.order] + [(column[n], False) for n in shown if q.order]
             page, n = r.store.page, q.limit + q.offset
             rows = r.store.told(self.spark, r.store.schema, lambda: page(bound, order, n))
             held = Catalog(self.spark)
@@ -252,6 +254,34 @@ class Engine:
             return Engine(self.spark, held).query(q, names=names)
         return None
 
+    def joined_by_stores(self, q: Query) -> Query:
+        """The goal with atoms of one home, two or more, replaced by one relation: what their store finds when it joins them."""
+        plain = lambda x: not x.fact and all(isinstance(a, (Var, Const, Wild)) and not getattr(a, "unit", "") for a in x.args)
+        homes: dict[str, list[Atom]] = {}
+        for x in q.goal:
+            r = self.catalog.relations.get(x.rel) if isinstance(x, Atom) else None
+            if r is not None and r.store is not None and r.store.push and r.store.home and plain(x) and len(x.args) == len(r.labels):
+                homes.setdefault(r.store.home, []).append(x)
+        for home, found in homes.items():
+            if len(found) < 2:
+                continue
+            fields: dict[str, T.StructField] = {}
+            required: set[str] = set()
+            for x in found:
+                r = self.catalog.relations[x.rel]
+                for a, f, label in zip(x.args, r.store.schema, r.labels, strict=True):
+                    if isinstance(a, Var):
+                        fields.setdefault(a.name, T.StructField(a.name, f.dataType))
+                        required |= {a.name} if label in r.required else set()
+            store, names = self.catalog.relations[found[0].rel].store, list(fields)
+            asked = [(x.rel, [("var", a.name) if isinstance(a, Var) else ("const", a.value) if isinstance(a, Const) else None for a in x.args]) for x in found]
+            push = store.push
+            self.catalog.add(f"~{home}", store.told(self.spark, T.StructType([fields[n] for n in names]), lambda push=push, asked=asked, names=names: push(asked, names)), required=required)
+            joined = Atom(f"~{home}", tuple(Var(n) for n in names))
+            select = q.select if q.select is not None else tuple(Column(Var(v), v) for v in dict.fromkeys(body_vars(q.goal)) if not v.startswith("~"))
+            q = replace(q, select=select, goal=(joined, *[x for x in q.goal if not any(x is y for y in found)]))
+        return q
+
     def tells_apart(self, c: Compiler, goal: tuple, items: list) -> bool:
         """Whether the answer's columns tell all bindings apart, by declared keys: then they hold no row twice."""
         shown = {i.name for i in items if isinstance(i, Var)}

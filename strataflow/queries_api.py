@@ -349,6 +349,34 @@ def lookup_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query('graph.closure("far_road", 3, ?b, 1, 5, ?h) => ?b, ?h', names=["b", "h"])
 
 
+@made("lookup_join", "SELECT a.n_nationkey AS k, b.n_name AS n FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey < 4 AND b.n_regionkey <> 2")
+def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two relations of one store, which it joins itself: neither is read."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
+
+    def refuse(_bound: object, _part: object) -> list[tuple]:
+        raise RuntimeError("read")
+
+    def join(atoms: list, names: list[str]) -> list[tuple]:
+        held = {"far_step": [(r[0], r[0] + 1) for r in rows], "far_land": rows}
+        found: list[dict] = [{}]
+        for rel, args in atoms:
+            more = []
+            for env in found:
+                for row in held[rel]:
+                    new = {**env}
+                    if all(a is None or (a[1] == v if a[0] == "const" else new.setdefault(a[1], v) == v) for a, v in zip(args, row, strict=True)):
+                        more.append(new)
+            found = more
+        return [tuple(env[n] for n in names) for env in found]
+
+    e = Engine(spark)
+    offers = {"push": join, "home": "far"}
+    lookup.register(e.catalog, "far_step", "a int, b int", refuse, required=["a", "b"], offers=offers)
+    lookup.register(e.catalog, "far_land", "k int, n string, r int", refuse, required=["k", "n", "r"], offers=offers)
+    return e.query("far_step(?k, ?b), far_land(?b, ?n, ?r), ?k < 4, ?r != 2 => ?k, ?n", names=["k", "n"])
+
+
 @made("memory_rows", "SELECT 'a' AS k, 1.5 AS v UNION ALL SELECT 'b', NULL")
 def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark)

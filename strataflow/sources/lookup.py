@@ -46,7 +46,9 @@ _kept: dict[tuple, OrderedDict] = {}
 class Store:
     """keys are the columns that rows are found by quickly. walk(starts, low, high) returns (start, node, steps) of the relation's
     own closure; summarize(bound, columns, aggregates) a row a group, the columns' values and then those of the aggregates
-    (function, column); page(bound, order, n) the first n rows by (column, descending). batch is the keys of one call."""
+    (function, column); page(bound, order, n) the first n rows by (column, descending), any n without an order.
+    push(atoms, variables) joins atoms of relations with the same `home` and returns a row of the variables' values for each way that
+    they hold together; an atom is (relation, arguments), an argument ("var", name), ("const", value) or None. batch is the keys of one call."""
 
     name: str
     schema: T.StructType
@@ -56,6 +58,8 @@ class Store:
     walk: Callable | None = None
     summarize: Callable | None = None
     page: Callable | None = None
+    push: Callable | None = None
+    home: str = ""
     batch: int = 1_000
     cache: int = 0
     token: object = None
@@ -113,7 +117,13 @@ class Store:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(b.num_rows for b in batches):
-                yield record(list(call()), shape)
+                rows: list[tuple] = []
+                for r in call():
+                    rows.append(tuple(r))
+                    if len(rows) >= 10_000:
+                        yield record(rows, shape)
+                        rows = []
+                yield record(rows, shape)
 
         return spark.range(1).coalesce(1).mapInArrow(run, schema)
 
