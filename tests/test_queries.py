@@ -13,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Those that the other tests don't reach, and one of each kind; the driver runs all of them.
 CHOSEN = (
     "flagship", "key_semi_join", "refusals", "mixed_units", "default_order", "limit_without_order", "paths_named_by_joins", "paths_steps_by_joins", "closure_lineitem", "walk_citations", "host_edge_paths",
-    "host_volatile", "lookup_batches", "lookup_page", "lookup_walk", "timed_federation", "version_sets", "cites_at", "witnesses", "cypher_shortest_path", "cypher_key_value", "cypher_refusals", "analyses", "agent_server", "plain_language",
+    "host_volatile", "lookup_batches", "lookup_join", "lookup_page", "lookup_walk", "timed_federation", "version_sets", "cites_at", "witnesses", "cypher_shortest_path", "cypher_key_value", "cypher_refusals", "analyses", "agent_server", "plain_language",
 )
 
 
