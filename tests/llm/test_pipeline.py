@@ -1,8 +1,12 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 import sentencepiece
+from test_neardup import roots
+from test_sharding_mixing import filled
 
 import corpus_pipeline
 from strataflow.llm import pieces
@@ -44,6 +48,29 @@ def test_stages(spark, docs):
     assert all(r.ids == lib.encode(masked[r.doc_id].text) and r.round_trip for r in kept["pieces"])
 
 
+def test_deduplication_and_mixing_by_brute_force(spark, docs):
+    """What the second and the fourth stage keep, from plain sets of shingles and plain sums."""
+    named = cut(corpus_pipeline.identify_language(spark, docs, ""), "language")
+    kept = corpus_pipeline.drop_near_duplicates(spark, named, "")
+    texts = {r.doc_id: r.text for r in named.collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, root) in roots(texts, 5).items() if root == d)
+    masked = cut(corpus_pipeline.mask_secrets(spark, kept, ""), "secrets")
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in masked.collect()}
+    source = {r.doc_id: r.source for r in masked.collect()}
+    whole = {s: sum(size[d] for d in size if source[d] == s) for s in set(source.values())}
+    order = sorted((s for s in whole if s is not None), key=lambda s: s.encode()) + [s for s in whole if s is None]
+    targets = filled(whole, {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}, 1.5, 2.0)
+    want: Counter = Counter()
+    for s in whole:
+        budget, before = int(targets[s] + 1e-9), 0
+        epochs = budget // whole[s]
+        for d in sorted((d for d in size if source[d] == s), key=lambda d: int(hashlib.md5(f"mix/{d}".encode()).hexdigest()[:12], 16)):
+            taken = epochs * size[d] + max(0, min(size[d], budget - epochs * whole[s] - before))
+            before += size[d]
+            want[d] += int(taken / size[d] + 0.5)
+    assert Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, masked, "").collect()) == +want
+
+
 def test_empty_documents(spark, docs):
     step = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:

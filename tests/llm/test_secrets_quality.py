@@ -128,3 +128,13 @@ def test_a_scan_of_any_columns_and_of_none(spark):
     got = [(r.doc_id, r.spans, [(s.start, s.end) for s in r.base], len(r.found)) for r in out.orderBy("doc_id").collect()]
     assert got == [(1, "s", [(0, 14)], 1), (1, "s", [(0, 14)], 1), (2, None, [], 0)]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_repeated_windows_on_either_side_of_the_switch(spark):
+    """Few repeated windows are looked up in a list, many are sorted: the count is one."""
+    texts = []
+    for many in (0, 1, quality.LISTED - 1, quality.LISTED, quality.LISTED + 1, 3 * quality.LISTED):
+        words = [w for again in range(2) for i in range(many) for w in (f"a{i}", f"b{i}", f"c{i}", f"only{again}x{i}")]
+        texts.append((many, " ".join(words)))
+    out = quality.counts(spark.createDataFrame(texts, "many int, text string"), "text", ["many"])
+    assert {(r.many, r.n_repeat_words) for r in out.collect()} == {(many, 6 * many) for many, _ in texts}
