@@ -452,6 +452,19 @@ def version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c", "s", F.explode("versions").alias("v"))
 
 
+GONE = "(a * 7 + v) % 25 = 0"
+
+
+@made("version_recursion", f"WITH RECURSIVE e AS (SELECT v, a, a + 1 AS b FROM range(50) x(v), range(8) y(a) WHERE NOT {GONE}), r AS (SELECT v, a, b FROM e UNION SELECT r.v, r.a, e.b FROM r JOIN e ON e.v = r.v AND e.a = r.b) SELECT v, count(*) AS n FROM r GROUP BY 1")
+def version_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closure at fifty versions at once, of edges of which a twenty-fifth is gone in each."""
+    held = lambda a: [(v, v + 1) for v in range(50) if (a * 7 + v) % 25]
+    e = Engine(spark)
+    e.catalog.rows("step", [(a, a + 1, held(a)) for a in range(8)], "a int, b int, __versions array<struct<from:bigint,to:bigint>>", required=["a", "b"])
+    out = e.query("r(?a, ?b) :- step(?a, ?b); r(?a, ?c) :- r(?a, ?b), step(?b, ?c); r(?a, ?b) => count(?b)", names=["n"], across=range(50))
+    return out.select(F.explode("versions").alias("v"), "n")
+
+
 def cited_roads(spark: SparkSession) -> Engine:
     e = Engine(spark)
     rows = [("a", "b", ["old"], "r1", [(0, 2)]), ("a", "b", ["new"], "r2", [(2, 9)]), ("b", "c", ["far"], None, [(0, 9)])]
